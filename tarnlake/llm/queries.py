@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bitplanes, exact_dedup, mixing, pieces
 
 QUERIES = {
+    "op2_token_planes": bitplanes.op2_token_planes,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
