@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bitplanes, exact_dedup, langid, mixing, nbsvm, pieces
+from . import bagminhash, bitplanes, exact_dedup, langid, mixing, nbsvm, pieces
 
 QUERIES = {
     "op2_token_planes": bitplanes.op2_token_planes,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality": nbsvm.op4_quality,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_near_duplicates": bagminhash.op8_near_duplicates,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": langid.op10_language_id,
 }

@@ -21,6 +21,18 @@ def frequent(rows: DataFrame, key: str, support: float = SUPPORT) -> DataFrame:
     return found.select(F.explode("k_freqItems").alias(key)).filter(F.col(key).isNotNull())
 
 
+def lookup(rows: DataFrame, key: str, answers: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """`rows` left-joined with `answers`, which has one row for each key; a key may have a third of the rows.
+
+    Misra-Gries proposes the frequent keys; their answers, at most 1 / support rows, are broadcast. The other keys have
+    few rows each and are joined by an ordinary shuffle. `rows` should be slim and materialised; keys are not null.
+    """
+    hot = cut(answers.join(F.broadcast(frequent(rows, key, support)), key, "left_semi"))
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(answers, key, "left")
+    return near.unionByName(far)
+
+
 def with_first(rows: DataFrame, key: str, order: str, support: float = SUPPORT) -> DataFrame:
     """`rows` with `first` (the least `order` among rows of equal `key`) and `size` (their number).
 
