@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bitplanes, exact_dedup, langid, mixing, nbsvm, pieces
+from . import bagminhash, bitplanes, exact_dedup, langid, mainhtml, mixing, nbsvm, pieces
 
 QUERIES = {
+    "op1_main_text": mainhtml.op1_main_text,
     "op2_token_planes": bitplanes.op2_token_planes,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality": nbsvm.op4_quality,
