@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bitplanes, exact_dedup, langid, mainhtml, mixing, nbsvm, pieces
+from . import bagminhash, bitplanes, exact_dedup, fingerprint, langid, mainhtml, mixing, nbsvm, pieces, wordpiece
 
 QUERIES = {
     "op1_main_text": mainhtml.op1_main_text,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality": nbsvm.op4_quality,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_fingerprints": fingerprint.op6_fingerprints,
+    "op7_token_counts": wordpiece.op7_token_counts,
     "op8_near_duplicates": bagminhash.op8_near_duplicates,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": langid.op10_language_id,
