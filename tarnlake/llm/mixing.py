@@ -55,8 +55,8 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     tried = named.select("*", level.alias("level"))
     holds = F.when(F.col("limit") >= F.col("level") * F.col("weight"), F.col("level"))
-    first = F.min(holds).over(everything)
-    # levels only rise from one stopped source to the next, so the first that holds is the least
+    # levels rise while sources stop and fall once sources are taken off that don't, so the first that holds is the highest
+    first = F.max(holds).over(everything)
     return tried.select("source", "source_size", "nth", F.least("limit", F.coalesce(first, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
@@ -171,7 +171,7 @@ with d as (
   from s
 ), t as (
   select source, source_size, least(2.0::double * source_size,
-           weight * coalesce(min(case when 2.0::double * source_size >= level * weight then level end) over (), 0)) as target
+           weight * coalesce(max(case when 2.0::double * source_size >= level * weight then level end) over (), 0)) as target
   from l
 ), r as (
   select p.doc_id, p.size, t.source_size, t.target, round(t.target)::bigint as goal,
