@@ -39,12 +39,17 @@ def type_of(e: Expression, frame: DataFrame) -> T.DataType:
 
 
 def truth(value: Column, type_: T.DataType) -> Column:
-    """Whether a value counts as true: numbers but 0, texts but the empty one, and never null."""
+    """Whether a value counts as true: numbers but 0, texts but the empty one, and never null.
+
+    Null stands for false, since the dialect cannot negate; so conditions stay plain enough to be pushed into scans.
+    """
+    if isinstance(type_, T.BooleanType):
+        return value
     match kind(type_):
         case "number":
-            return F.coalesce(value if isinstance(type_, T.BooleanType) else value != 0, F.lit(False))
+            return value != 0
         case "string":
-            return F.coalesce(value != "", F.lit(False))
+            return value != ""
         case "null":
             return F.lit(False)
     return value.isNotNull()
@@ -80,8 +85,11 @@ def _binary(left: Expression, operator: str, right: Expression, frame: DataFrame
         return a & b if operator == "AND" else a | b
     a, b = _number(a, s, t), _number(b, t, s)
     if operator in ("=", "!="):
-        equal = a.eqNullSafe(b) if same_kind(s, t) else F.lit(False)
-        return equal if operator == "=" else ~equal
+        if not same_kind(s, t):
+            return F.lit(operator != "=")
+        if operator == "=" and any(isinstance(e, Literal) and e.value is not None for e in (left, right)):
+            return a == b  # null equals no literal
+        return a.eqNullSafe(b) if operator == "=" else ~a.eqNullSafe(b)
     order: dict[str, Callable[[Column, Column], Column]] = {"<": Column.__lt__, ">": Column.__gt__, "<=": Column.__le__, ">=": Column.__ge__}
     if operator not in order:
         raise ValueError(f"no operator {operator!r}")

@@ -6,8 +6,10 @@ import datetime
 import decimal
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _TYPES: dict[type, T.DataType] = {
     bool: T.BooleanType(),
@@ -42,7 +44,12 @@ def from_rows(spark: SparkSession, rows: Sequence[Mapping[str, object]], schema:
         schema = T.StructType([T.StructField(n, _type(n, c)) for n, c in zip(names, columns, strict=True)])
         wide = [isinstance(f.dataType, T.DoubleType) for f in schema]
         data = [tuple(float(v) if w and v is not None else v for v, w in zip(row, wide, strict=True)) for row in data]
-    return spark.createDataFrame(data, schema)
+    if not names:
+        return spark.createDataFrame(data, schema)
+    # as an Arrow table, which gives a relation of known size
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*data, strict=True), arrow, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
 
 
 def to_rows(frame: DataFrame) -> list[dict[str, object]]:
