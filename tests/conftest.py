@@ -10,15 +10,15 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("PYTHONPATH", sys.path[0])
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SMALL = "/root/testdata/sf0.001"
-MIDDLE = "/root/testdata/sf0.01"
+from tests_data import CITIES, PEOPLE  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[4,3]")
+        SparkSession.builder.master("local[2,3]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -31,14 +31,6 @@ def spark():
     session.stop()
 
 
-PEOPLE = [
-    {"id": 1, "name": "alice", "age": 10, "city_id": 100, "city": "seattle"},
-    {"id": 2, "name": "bob", "age": 12, "city_id": 200, "city": "vancouver"},
-    {"id": 3, "name": "carol", "age": 15, "city_id": 100, "city": "seattle"},
-]
-CITIES = [{"id": 100, "city_name": "seattle"}, {"id": 200, "city_name": "vancouver"}]
-
-
 @pytest.fixture
 def session(spark):
     from tarnlake.session import EngineSession

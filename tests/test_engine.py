@@ -1,8 +1,8 @@
 import duckdb
 import pytest
-from conftest import CITIES, MIDDLE, PEOPLE
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tests_data import CITIES, MIDDLE, PEOPLE
 
 from tarnlake import catalogue
 from tarnlake.cluster import Shards, distributed_count, distributed_join, distributed_query
