@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, table, text_of, unused
 from .skew import lookup, with_first
 
 SHINGLE = 5
@@ -369,8 +369,8 @@ def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = pa.array([occurrences(f).astype("<u8").tobytes() for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays([key, n, node, sets], ["key", "n", "node", "payload"]).filter(own)
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("_tl_id"), text_of(docs).alias("text"))
-    joined = texts.join(wanted, texts["_tl_id"].eqNullSafe(wanted["doc_id"]))
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text"))
+    joined = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]))
     made = joined.select("key", "n", "node", "digest", "text").mapInArrow(rows, "key bigint, n bigint, node bigint, payload binary")
     return made
 
@@ -395,9 +395,11 @@ def classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with all their columns, one document of each class: that of the smallest doc_id."""
-    gone = classes(docs).groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("stays")).filter("stays = 0").select(F.col("doc_id").alias("_tl_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_tl_id"]), "left_anti")
+    """The rows of `docs` with all their columns, one document of each class: that of the smallest doc_id. Rows that share
+    a doc_id stay together if one of them does."""
+    own = unused(docs, "_id")
+    gone = classes(docs).groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("stays")).filter("stays = 0").select(F.col("doc_id").alias(own))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[own]), "left_anti")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 #: Words of each of a worker's two memories, and the longest word kept in them.
 WORDS_KEPT = 400_000
@@ -11,9 +13,29 @@ LONGEST_KEPT = 48
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+#: Latin letters, for which the pattern's classes of letters are beyond doubt.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _OPEN: dict[str, Encoder] = {}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Spelling(dict):
+    """How byte-level vocabularies spell a character, by code point, as the library says."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        (found, _), = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))
+        self[code] = found
+        return found
+
+
 class Encoder(dict):
     """The ids of ' ' + word by word, as little-endian unsigned 32-bit integers.
 
@@ -28,6 +50,9 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.of_word = self.tokenizer.model.tokenize
+        self.spelt = _Spelling()
+        self.marks = {c: self.direct(c) for c in ",.;:!?"}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -36,14 +61,19 @@ class Encoder(dict):
         return _OPEN[path]
 
     def direct(self, text: str) -> bytes:
-        import numpy as np
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def fresh(self, word: str) -> bytes:
+        if _LATIN.fullmatch(word):  # one word for the model, whatever stands around it
+            return _bytes([t.id for t in self.of_word(" ".translate(self.spelt) + word.translate(self.spelt))])
+        if word[-1:] in self.marks and _LATIN.fullmatch(word, 0, len(word) - 1):  # a word and a mark
+            return self[word[:-1]] + self.marks[word[-1]]
+        return self.direct(" " + word)
 
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            ids = self.direct(" " + word)
+            ids = self.fresh(word)
         if len(word) <= LONGEST_KEPT:
             if len(self) >= WORDS_KEPT:  # words in use come back from the older memory
                 self.before = dict(self)

@@ -37,3 +37,11 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so that a lost executor costs only its running tasks."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that the documents do not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

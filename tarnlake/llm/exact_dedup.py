@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, table, text_of
+from .common import BLANKS, cut, table, text_of, unused
 from .skew import SUPPORT, with_first
 
 
@@ -42,25 +42,15 @@ def exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The rows of `docs`, one for each distinct text, with all their columns."""
-    names = docs.columns
-    kept = exact_copies(docs, support).filter("kept").select(
-        F.coalesce("doc_id", F.lit(0)).alias("_tl_id"), F.isnull("doc_id").alias("_tl_no_id"), F.col("text_sha256").alias("_tl_digest")
-    )
-    marked = docs.select(
-        "*", F.coalesce(docs["doc_id"], F.lit(0)).alias("_tl_id"), F.isnull(docs["doc_id"]).alias("_tl_no_id"), digest(docs).alias("_tl_digest")
-    )
-    keys = ["_tl_id", "_tl_no_id", "_tl_digest"]
-    stay = marked.join(kept, keys, "left_semi")
-    repeated = slim_repeats(marked, keys)
-    if repeated.isEmpty():
-        return stay.select(*names)
-    # rows that repeat a doc_id and its text: one of each
-    once = stay.join(repeated, keys, "left_anti").unionByName(stay.join(repeated, keys, "left_semi").dropDuplicates(keys))
-    return once.select(*names)
-
-
-def slim_repeats(marked: DataFrame, keys: list[str]) -> DataFrame:
-    return cut(marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tl_n")).filter("_tl_n > 1").drop("_tl_n"))
+    keys = [unused(docs, n) for n in ("_id", "_no_id", "_digest")]
+    parts = lambda f, d: [c.alias(k) for c, k in zip((F.coalesce(f["doc_id"], F.lit(0)), f["doc_id"].isNull(), d), keys, strict=True)]
+    copies = exact_copies(docs, support)
+    kept = copies.filter("kept").select(*parts(copies, F.col("text_sha256")))
+    stay = docs.select("*", *parts(docs, digest(docs))).join(kept, keys, "left_semi")
+    repeated = cut(copies.groupBy(*parts(copies, F.col("text_sha256"))).count().filter("count > 1").select(*keys))
+    if not repeated.isEmpty():  # rows that repeat a doc_id and its text: one of each
+        stay = stay.join(repeated, keys, "left_anti").unionByName(stay.join(repeated, keys, "left_semi").dropDuplicates(keys))
+    return stay.select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

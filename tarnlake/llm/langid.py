@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table, text_of
+from .common import table, text_of, unused
 
 MARK = "▁"
 #: Learned from: documents of each language, rounds of expectation maximisation, and what is added to a piece's count.
@@ -197,9 +197,14 @@ def train(docs: DataFrame, learn, model: str, sample: int = SAMPLE) -> Model:
     """Learn from the rows of `docs` (doc_id, text, lang) for which `learn` holds."""
     may = docs.filter(learn & docs["lang"].isNotNull() & docs["doc_id"].isNotNull()).select(docs["doc_id"], docs["lang"], docs["text"])
     rows = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each language
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # each task keeps `sample` rows of a language at most before the shuffle
-    chosen = may.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample).drop("nth").distinct()
+    if not rows:
+        return fit({}, {}, Vocabulary.of_model(model))
+    place = F.xxhash64("doc_id")
+    # places are evenly spread: of a language, so many more than `sample` lie below this share that fewer never happen
+    below = F.create_map(*(F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, (sample + 12 * sample**0.5 + 50) / n))))
+    near = may.select("doc_id", "lang").filter((place / F.lit(2.0**64) + 0.5) <= below[F.col("lang")])
+    order = W.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = near.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample).drop("nth")
     texts = may.join(F.broadcast(chosen), ["doc_id", "lang"])
     counts: dict[str, Counter] = {}
     for r in texts.select("lang", "text").toLocalIterator():
@@ -267,9 +272,9 @@ class Scorer:
 
 def identify(docs: DataFrame, model: Model, keep: Sequence[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `keep` of `docs`, and for the text the language predicted and its score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    whole = docs.select(*(docs[c] for c in keep), text_of(docs).alias("_tl_text"))
+    keep = list(keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    whole = docs.select(*(docs[c].alias(f"c{k}") for k, c in enumerate(keep)), text_of(docs).alias("text"))
     schema = StructType([*docs.select(*(docs[c] for c in keep)).schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def rows(batches: Iterator) -> Iterator:
@@ -281,7 +286,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str], names: tuple[st
                 some = batch.slice(at, TEXTS_AT_ONCE)
                 lang, score = scorer.score(some.column(some.num_columns - 1).to_pylist())
                 columns = [*some.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*some.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     return whole.mapInArrow(rows, schema)
 
@@ -297,8 +302,9 @@ def learnable(docs: DataFrame):
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of `docs` whose text has letters and whose language is clear: a posterior of `least` or more."""
-    found = identify(docs, model, docs.columns, ("_tl_lang", "_tl_score"))
-    return found.filter((F.col("_tl_lang") != UNDETERMINED) & (F.col("_tl_score") >= least)).select(*docs.columns)
+    lang, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    found = identify(docs, model, docs.columns, (lang, score))
+    return found.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

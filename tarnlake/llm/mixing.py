@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, text_of
+from .common import WORD, cut, table, text_of, unused
 
 #: The sources' weights, repeating in the order of their names; all sizes are shared 1.5 times, each source twice at most.
 WEIGHTS = (3, 1, 2)
@@ -133,21 +133,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Texts stay whole: of a copy that the target cuts, the row comes if at least half of its words are taken. Documents
     without words are no burden on any target and come once, at the end.
     """
-    names = docs.columns
     plan = mix(docs, **options)
-    whole = lambda x: F.col(x) * 2 >= F.col("size")
-    at = F.filter(F.array(F.when(whole("once") & (F.col("once") > 0), F.col("position")), F.when(whole("twice") & (F.col("twice") > 0), F.col("again"))), lambda x: x.isNotNull())
+    whole = lambda x: (F.col(x) * 2 >= F.col("size")) & (F.col(x) > 0)
+    at = F.filter(F.array(F.when(whole("once"), F.col("position")), F.when(whole("twice"), F.col("again"))), lambda x: x.isNotNull())
     at = F.when(F.col("size") == 0, F.array(F.lit(1.0))).otherwise(at)
-    turns = plan.select(F.coalesce("doc_id", F.lit(0)).alias("_tl_id"), F.isnull("doc_id").alias("_tl_no_id"), F.col("source").alias("_tl_source"), F.col("size").alias("_tl_size"), at.alias("_tl_at"))
-    keys = ["_tl_id", "_tl_no_id", "_tl_source", "_tl_size"]
+    names = {n: unused(docs, f"_{n}") for n in ("id", "no_id", "source", "size", "at", "turn")}
+    parts = lambda f, size: [F.coalesce(f["doc_id"], F.lit(0)).alias(names["id"]), f["doc_id"].isNull().alias(names["no_id"]), f["source"].alias(names["source"]), size.alias(names["size"])]
+    keys = [names[n] for n in ("id", "no_id", "source", "size")]
     # rows that repeat all of these are cut alike: each gets the turns of one of them
-    turns = turns.groupBy(*keys).agg(F.max("_tl_at").alias("_tl_at"))
-    marked = docs.select("*", F.coalesce(docs["doc_id"], F.lit(0)).alias("_tl_id"), F.isnull(docs["doc_id"]).alias("_tl_no_id"), n_words(docs).alias("_tl_size"))
-    turns = turns.withColumnsRenamed({k: f"{k}_t" for k in keys})
-    same = (marked["_tl_id"] == turns["_tl_id_t"]) & (marked["_tl_no_id"] == turns["_tl_no_id_t"]) & (marked["_tl_size"] == turns["_tl_size_t"])
-    dealt = marked.join(turns, same & marked["source"].eqNullSafe(turns["_tl_source_t"]))
-    dealt = dealt.select(*[marked[c] for c in names], F.explode("_tl_at").alias("_tl_at"), F.col("_tl_id"))
-    return dealt.orderBy("_tl_at", "_tl_id").select(*names)
+    turns = plan.select(*parts(plan, F.col("size")), at.alias(names["at"])).groupBy(*keys).agg(F.max(names["at"]).alias(names["at"]))
+    turns = turns.withColumnsRenamed({k: f"{k}_of_turn" for k in keys})
+    marked = docs.select("*", *parts(docs, n_words(docs)))
+    same = [marked[k].eqNullSafe(turns[f"{k}_of_turn"]) for k in keys]
+    dealt = marked.join(turns, same).select(*(marked[c] for c in docs.columns), F.explode(names["at"]).alias(names["turn"]), marked[names["id"]])
+    return dealt.orderBy(names["turn"], names["id"]).select(*docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,9 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, sample: int = S
     """Learn column `label` of `labels` from the rows for which `learn`, a condition on `labels`, holds."""
     import numpy as np
 
-    may = labels.filter(learn & labels["doc_id"].isNotNull() & labels[label].isin(0, 1)).select(labels["doc_id"], labels[label].cast("int").alias("_tl_y"))
-    chosen = may.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_tl_y").limit(sample)
-    texts = docs.select(docs["doc_id"], text_of(docs).alias("_tl_text")).join(F.broadcast(chosen), "doc_id").select("_tl_y", "_tl_text")
+    may = labels.filter(learn & labels["doc_id"].isNotNull() & labels[label].isin(0, 1)).select(labels["doc_id"], labels[label].cast("int").alias("y"))
+    chosen = may.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+    texts = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -193,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, sample: int = S
 def score_documents(docs: DataFrame, model: Model, keep: Sequence[str], name: str = "score") -> DataFrame:
     """The columns `keep` of `docs`, and the score of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = list(keep)
     kept = docs.select(*(docs[c] for c in keep))
     schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
 
@@ -202,9 +203,9 @@ def score_documents(docs: DataFrame, model: Model, keep: Sequence[str], name: st
         score = shared.value.score
         for batch in batches:
             found = pa.array([score(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, name])
 
-    return docs.select(*(docs[c] for c in keep), text_of(docs).alias("_tl_text")).mapInArrow(rows, schema)
+    return docs.select(*(docs[c].alias(f"c{k}") for k, c in enumerate(keep)), text_of(docs).alias("text")).mapInArrow(rows, schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,278 @@
+"""op1, op4, op5, op10 and the pipeline: brute force, and accuracy on rows held out."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tests_data import MIDDLE
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tarnlake.llm import htmltree, langid, mainhtml, mixing, nbsvm, queries
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+# op1 ------------------------------------------------------------------------------------------------------------------
+
+CASES = {
+    "<p>One &amp; two<p>three <b>bold</b> x": "One & two\nthree bold x",
+    "<nav>n</nav><header><h1>Site</h1></header><article><header><h1>T</h1></header><p>a<br>b</p><footer>f</footer></article><aside>s</aside>": "T\na b",
+    '<div class="main-menu">m</div><div id="cookieNotice">c</div><div class="ad">x</div><div class="padding">kept</div><section class="comments"><p>no</section>': "kept",
+    "<article></article><main><p>in main</main><p>out": "in main",
+    "<form><p>zz</form><ul><li>a<li>b</ul><table><tr><td>q<td>r</table>tail &lt;x&gt; 1 < 2": "a\nb\nq\nr\ntail <x> 1 < 2",
+    "<script>var t='</p>';</script><style>p{}</style><p hidden>h<p style='display: none'>d<p>x<!-- <p>c -->y": "xy",
+    "<article><p><b>never closed<br><p>next</article>": "never closed\nnext",
+    "<p>&#x41;&bogus;&nbsp;&eacute;  \n z</p>": "A&bogus; é z",
+    "<p>cut off <a href='x": "cut off",
+    "": "",
+    "no markup": "no markup",
+}
+
+
+@pytest.mark.parametrize("html", CASES)
+def test_main_text(html):
+    assert mainhtml.main_text(html) == CASES[html]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<b", "<", ">", "text ", "&amp;", "<!--", "-->", "<script>", "</script>", '"', "<article>", "</article>", "<td>", "<br/>", "<li>"]), max_size=30).map("".join))
+def test_any_text_has_a_tree(html):
+    htmltree.parse(html)
+    assert all(line == " ".join(line.split()) and line for line in mainhtml.main_text(html).split("\n") if mainhtml.main_text(html))
+
+
+def test_templates_of_a_host_go(spark):
+    page = lambda k, host: (k, f"http://{host}/{k}", f"<body><div class=top>Welcome to us</div><div><p>own text {k} of {host}</div><p>All rights kept</p></body>")
+    rows = [page(k, "a.example") for k in range(8)] + [page(k, "b.example") for k in range(8, 10)]
+    rows += [(20, None, None), (21, "odd", "<p>x"), (21, "odd", "<p>x"), (None, "http://A.example/x", "")]
+    frame = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, text string, host string")
+    got = mainhtml.extract(frame).collect()
+    texts = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == len(rows) and all(texts[k] == f"own text {k} of a.example" for k in range(8))
+    assert texts[8] == "Welcome to us\nown text 8 of b.example\nAll rights kept"
+    assert texts[20] == texts[None] == "" and texts[21] == "x" and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert mainhtml.extract(frame.filter("page_id = -1")).count() == 0
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    frame = spark.createDataFrame([(k, "http://a.example/", "<div><p>the same</div>") for k in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in mainhtml.extract(frame).collect()} == {"the same"}
+
+
+def test_op1_on_the_test_data(spark):
+    import html
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{MIDDLE}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in mainhtml.op1_main_text(spark, MIDDLE).collect()}
+    for k, page in pages.items():
+        inside = page.split("<article>", 1)[1].split("</article>", 1)[0].split("<footer>")[0]
+        parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inside))
+        assert got[k] == "\n".join(filter(None, parts))
+
+
+# op4 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_dual_descent_finds_the_plane():
+    random_ = np.random.default_rng(0)
+    x = random_.normal(size=(200, 5))
+    y = np.where(x @ [2, -1, 0, 0.5, 0] + 0.3 > 0, 1.0, -1.0)
+    w = nbsvm.descend([np.arange(5)] * 200, list(x), y, np.full(200, 0.1), 5, 1000)
+    assert (np.sign(x @ w[:5] + w[5]) == y).mean() > 0.97
+    # the dual's solution minimises the primal: no small step is better
+    loss = lambda w: w @ w / 2 + 0.1 * np.maximum(0, 1 - y * (x @ w[:5] + w[5])).sum()
+    assert all(loss(w) <= loss(w + step) + 1e-3 for step in 0.01 * random_.normal(size=(50, 6)))
+
+
+def test_ratios_are_of_smoothed_shares():
+    r = nbsvm.ratios([np.array([3]), np.array([3, 5]), np.array([5])], np.array([1, 1, 0]))
+    assert math.isclose(r[3], math.log((3 / 4) / (1 / 3))) and math.isclose(r[5], math.log((2 / 4) / (2 / 3)))
+
+
+def test_op4_on_rows_held_out(spark):
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    got = nbsvm.op4_quality(spark, MIDDLE)
+    assert got.count() == spark.read.parquet(f"{MIDDLE}/documents.parquet").count()
+    rows = got.join(labels, "doc_id").filter("held_out").collect()
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) == r["held_out"] for r in rows)
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
+    assert sorted(map(tuple, nbsvm.op4_quality(spark, MIDDLE).collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_op4_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(12)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    for quality in (labels, labels.filter("quality = 1"), labels.filter("doc_id = -1")):
+        model = nbsvm.train(odd, quality, "quality", F.lit(True))
+        scores = [r["score"] for r in nbsvm.score_documents(odd, model, ["doc_id"]).collect()]
+        assert len(scores) == odd.count() and all(0 <= s <= 1 for s in scores)
+    assert nbsvm.score_documents(none, model, ["doc_id"]).count() == 0
+
+
+# op5 ------------------------------------------------------------------------------------------------------------------
+
+
+def filled(sizes, weights=(3, 1, 2)):
+    """Targets by resharing again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {n: weights[k % len(weights)] for k, n in enumerate(names)}
+    total, stopped = 1.5 * sum(sizes.values()), {}
+    while True:
+        live = [n for n in names if n not in stopped]
+        level = (total - sum(stopped.values())) / sum(weight[n] for n in live) if live else 0
+        new = [n for n in live if level * weight[n] > 2 * sizes[n]]
+        if not new:
+            return {n: stopped.get(n, level * weight[n]) for n in names}
+        stopped |= {n: 2.0 * sizes[n] for n in new}
+
+
+def check_mix(docs):
+    rows = mixing.mix(docs).collect()
+    words = {(r["doc_id"], r["source"]): len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect()}
+    assert len(rows) == docs.count()
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        assert r["size"] == words[r["doc_id"], r["source"]] and 0 <= r["taken"] <= 2 * r["size"]
+        assert (r["position"] is None) == (r["taken"] == 0) and (r["position"] is None or 0 <= r["position"] <= 1)
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    want = filled(sizes)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], want[r["source"]], abs_tol=1e-6)
+        assert abs(taken[r["source"]] - r["target"]) <= 0.51
+    assert [r["position"] for r in rows] == sorted((r["position"] for r in rows), key=lambda p: (p is None, p))
+    return rows
+
+
+def test_mix(spark, odd, none):
+    check_mix(odd)
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    rows = check_mix(docs)
+    assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, rows))
+    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+
+
+def test_positions_follow_the_schedules(spark):
+    docs = spark.createDataFrame([(k, "a b c d e", f"s{k % 3}") for k in range(3000)], "doc_id long, text string, source string")
+    rows = [r for r in mixing.mix(docs).collect() if r["position"] is not None]
+    early = {s: np.mean([r["position"] < 0.5 for r in rows if r["source"] == s]) for s in ("s1",)}
+    assert abs(early["s1"] - 0.5) < 0.06  # an even schedule, and a source that is taken less than once
+    demand = spark.range(101).select((F.col("id") / 100).alias("d"))
+    for knots in (*mixing.SCHEDULES, ((0.0, 1.0), (0.3, 3.0), (0.6, 3.0), (1.0, 0.5))):
+        whole = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:]))
+        for r in demand.select("d", mixing.inverse(F.col("d"), knots).alias("t")).collect():
+            grid = np.linspace(0, r["t"], 2001)
+            area = np.trapezoid(np.interp(grid, *zip(*knots)), grid)
+            assert abs(area / whole - r["d"]) < 1e-4
+
+
+def test_mixed_documents_come_as_often_as_taken(spark, odd):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    plan = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and mixing.mixed_documents(odd).columns == odd.columns
+    times = Counter(r["doc_id"] for r in out.collect())
+    for d, r in plan.items():
+        assert abs(times[d] * r["size"] - r["taken"]) <= r["size"] / 2 + 1e-9 or r["size"] == 0
+
+
+# op10 -----------------------------------------------------------------------------------------------------------------
+
+
+def all_cuts(text):
+    for k in range(1 << (len(text) - 1)):
+        out, last = [], 0
+        for at in range(1, len(text)):
+            if k >> (at - 1) & 1:
+                out.append(text[last:at])
+                last = at
+        yield [*out, text[last:]]
+
+
+def test_forward_sums_all_segmentations():
+    rnd = random.Random(1)
+    names = sorted({langid.MARK + "".join(rnd.choice("abc") for _ in range(rnd.randrange(3))) for _ in range(6)} | {"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 4))) for _ in range(9)})
+    v = langid.Vocabulary(names)
+    chances = np.random.default_rng(2).random((len(names), 2))
+    known = {n: chances[k] for k, n in enumerate(names)}
+    for size in (1, 3, 6):
+        words = ["".join(rnd.choice("abcz") for _ in range(size)) for _ in range(20)]
+        got = langid.forward(v.codes(words), v, chances)
+        for w, p in zip(words, got, strict=True):
+            want = sum(np.prod([known.get(s, np.zeros(2)) + (langid.UNKNOWN if len(s) == 1 else 0) for s in cut], axis=0) for cut in all_cuts(langid.MARK + w))
+            assert np.allclose(p, want, rtol=1e-9)
+        counts = langid.expected(v.codes(words), np.ones(len(words)), v, chances[:, 0])
+        assert (counts >= 0).all() and counts.sum() <= len(words) * (size + 1) + 1e-9
+
+
+def test_op10_on_rows_held_out(spark):
+    got = langid.op10_language_id(spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) == r["held_out"] for r in got)
+    assert held and np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.98 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_op10_odd_rows(odd, none):
+    model = langid.train(odd, langid.learnable(odd), MODEL)
+    got = langid.identify(odd, model, ["doc_id", "text"], ("found", "sure")).collect()
+    for r in got:
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert (r["found"] == "und") == (not letters) and 0 <= r["sure"] <= 1 and (letters or r["sure"] == 0)
+    empty = langid.train(none, langid.learnable(none), MODEL)
+    assert {r["found"] for r in langid.identify(odd, empty, ["doc_id"], ("found", "sure")).collect()} == {"und"}
+    assert langid.identify(none, model, ["doc_id"]).count() == 0
+    assert langid.keep_identified(odd, model).columns == odd.columns
+
+
+# the pipeline ----------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from test_dedup import brute_classes, normal
+
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").filter("doc_id < 300")
+    extra = spark.createDataFrame([(900, None, "en", "src1", 0), (901, "123 !!", "en", "src1", 6), (902, "", "de", "src1", 0)], docs.schema)
+    docs.unionByName(extra).write.parquet(str(tmp_path / "documents.parquet"))
+    start = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = [start]
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, seen[-1], str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        seen.append(spark.read.parquet(str(tmp_path / f"stage{k}")))
+        assert k == len(pipeline.STAGES) - 1 or seen[-1].columns == start.columns
+    texts = [{r["doc_id"]: r["text"] or "" for r in s.collect()} for s in seen[:-1]]
+    assert set(texts[0]) - set(texts[1]) == {900, 901, 902}
+    first = {}
+    for d, t in sorted(texts[1].items()):
+        first.setdefault(normal(t), d)
+    assert set(texts[2]) == set(first.values())
+    assert set(texts[3]) == {c for _, c, _ in brute_classes(list(texts[2].items()))}
+    times = Counter(r["doc_id"] for r in seen[4].collect())
+    for r in mixing.mix(seen[3]).collect():
+        assert abs(times[r["doc_id"]] * r["size"] - r["taken"]) <= r["size"] / 2
+    library = __import__("sentencepiece").SentencePieceProcessor(model_file=MODEL)
+    out = seen[5].collect()
+    assert Counter(r["doc_id"] for r in out) == times
+    assert all(list(r["ids"]) == library.encode(texts[0][r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in out)
+    assert pipeline.run(spark, str(tmp_path)).count() == len(out)
+
+
+def test_every_operator_has_a_query():
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    import duckdb
+
+    got = queries.QUERIES[name](spark, MIDDLE).toPandas()
+    with duckdb.connect() as db:
+        db.execute(f"create view documents as select * from '{MIDDLE}/documents.parquet'")
+        want = db.execute(queries.SQL[name]).df()
+    in_order = lambda f: sorted(map(repr, f[sorted(f.columns)].astype(object).itertuples(index=False, name=None)))
+    assert in_order(got) == in_order(want)
