@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnlake import catalogue
 from tarnlake.session import EngineSession
+from tarnlake.sources.report import write_report
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -79,6 +80,8 @@ def main() -> None:
     for name, query in catalogue.QUERIES.items():
         times[name] = seconds(lambda query=query: query(spark, SF_DIR))
     spark.stop()
+    if out := os.environ.get("BENCH_OUT"):
+        write_report(times, out, f"{len(times)} queries, {CPUS} cores, {os.path.basename(SF_DIR)}")
     print(json.dumps({"metric": "total seconds of all queries, median of samples", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
 
 

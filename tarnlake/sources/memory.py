@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime
 import decimal
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +61,9 @@ def to_rows(frame: DataFrame) -> list[dict[str, object]]:
 def project(frame: DataFrame, names: Sequence[str]) -> DataFrame:
     """The columns of these names in this order; names that the table lacks are left out."""
     return frame.select(*(frame[n] for n in names if n in frame.columns))
+
+
+def batches(frame: DataFrame, size: int) -> Iterator[list[dict[str, object]]]:
+    """All rows in lists of `size` or fewer, of which the driver holds a partition's at a time."""
+    for some in batched(frame.toLocalIterator(), max(1, size)):
+        yield [r.asDict() for r in some]

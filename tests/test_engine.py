@@ -10,7 +10,8 @@ from tarnlake.operators import exchange
 from tarnlake.operators.statistics import collect_stats
 from tarnlake.plans.syntax import BinaryExpression, Identifier, Literal, Query, SelectItem, TableRef
 from tarnlake.session import EngineSession
-from tarnlake.sources.memory import from_rows, project, to_rows
+from tarnlake.sources.memory import batches, from_rows, project, to_rows
+from tarnlake.sources.report import write_report
 
 NAMES = lambda rows: [r["name"] for r in rows]
 
@@ -108,6 +109,20 @@ def test_rows_in_and_out(spark):
     with pytest.raises(TypeError):
         from_rows(spark, [{"a": 1}, {"a": "x"}])
     assert project(frame, ["a", "none"]).columns == ["a"]
+    assert [len(b) for b in batches(frame.union(frame).coalesce(1), 3)] == [3, 1]
+
+
+def test_report(tmp_path):
+    write_report({"one": 0.5, "two": 1.25}, tmp_path / "out", "Title")
+    assert (tmp_path / "out" / "benchmark_results.csv").read_text().split() == ["query,seconds", "one,0.5", "two,1.25"]
+    assert "| two | 1.2500 |" in (text := (tmp_path / "out" / "benchmark_report.md").read_text()) and "Slowest: two." in text
+
+
+def test_entry_points(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).columns == ["o_orderkey", "c_name"]
+    assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_an_empty_table_keeps_its_columns(spark, session):
