@@ -59,7 +59,7 @@ def marked(node: Node) -> bool:
     """Whether the element says of itself that it is no part of an article."""
     if node.name in NEVER:
         return True
-    if not node.rest or node.name in ("html", "body", "main", "article"):
+    if not node.rest or node.name in ("html", "body", "main"):
         return False
     a = node.attributes
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
@@ -67,7 +67,19 @@ def marked(node: Node) -> bool:
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
     names = f"{a.get('class', '')} {a.get('id', '')}"
-    return any(w in MARKED for w in _WORDS.findall(_CAMEL.sub(" ", names).lower()))
+    return any(w in MARKED for w in _WORDS.findall(_CAMEL.sub(" ", names).lower())) and not holds_title(node)
+
+
+def holds_title(node: Node) -> bool:
+    """Whether a page's title or main part is inside: then a word such as `with-sidebar` is about the layout."""
+    rest = [node]
+    while rest:
+        for child in rest.pop().children:
+            if not isinstance(child, str):
+                if child.name in ("h1", "main"):
+                    return True
+                rest.append(child)
+    return False
 
 
 def text_size(node: Node) -> int:

@@ -30,6 +30,7 @@ CASES = {
     "<article><p><b>never closed<br><p>next</article>": "never closed\nnext",
     "<p>&#x41;&bogus;&nbsp;&eacute;  \n z</p>": "A&bogus; é z",
     "<p>cut off <a href='x": "cut off",
+    '<div class="with-sidebar"><h1>T</h1><p>a</p></div><section class="comments"><article class="comment"><p>c</article></section><article class="related"><p>r</article>': "T\na",
     "": "",
     "no markup": "no markup",
 }
