@@ -97,9 +97,6 @@ class _Folder(dict):
         self[name] = files.parquet(self.spark, self.sf_dir, name)
         return self[name]
 
-    def keys(self):  # so that dict(tables) has them all
-        return list(files.NAMES)
-
     def __iter__(self):
         return iter(files.NAMES)
 
