@@ -70,7 +70,8 @@ def followed(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     are shuffled once.
     """
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*(F.lit(k / ranges) for k in range(1, ranges))), F.lit(10 * ranges)).alias("cuts"))
+    # used twice, and an approximation may come out differently each time
+    cuts = cut(ids.agg(F.percentile_approx("doc_id", F.array(*(F.lit(k / ranges) for k in range(1, ranges))), F.lit(10 * ranges)).alias("cuts")))
     # at most `ranges` rows each: the highest place of each range, and the range that it follows
     at = F.coalesce(F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("doc_id"))), F.lit(0))
     ranged = lambda d: d.crossJoin(F.broadcast(cuts)).withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(at)).drop("cuts")
