@@ -34,6 +34,8 @@ from .htmltree import Node, parse
 LEAST_PAGES = 5
 SHARE = 0.3
 LONGEST_SUBTREE = 2000
+#: The templates of all hosts are broadcast up to this size, and joined by a shuffle beyond it.
+BROADCAST_BYTES = 16 << 20
 
 #: Elements that are never main text.
 NEVER = frozenset(
@@ -261,7 +263,9 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     known = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"], host(pages["url"]).alias("host"))
-    joined = known.join(lists, "host", "left").select("page_id", "url", "html", "template")
+    # a checked size decides whether the pages have to be shuffled
+    size = lists.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + 64)).first()[0] or 0
+    joined = known.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "host", "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(rows, "page_id bigint, url string, text string").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

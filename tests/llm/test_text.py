@@ -48,7 +48,9 @@ def test_any_text_has_a_tree(html):
     assert all(line == " ".join(line.split()) and line for line in mainhtml.main_text(html).split("\n") if mainhtml.main_text(html))
 
 
-def test_templates_of_a_host_go(spark):
+@pytest.mark.parametrize("broadcast", [1 << 24, 0])
+def test_templates_of_a_host_go(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mainhtml, "BROADCAST_BYTES", broadcast)
     page = lambda k, host: (k, f"http://{host}/{k}", f"<body><div class=top>Welcome to us</div><div><p>own text {k} of {host}</div><p>All rights kept</p></body>")
     rows = [page(k, "a.example") for k in range(8)] + [page(k, "b.example") for k in range(8, 10)]
     rows += [(20, None, None), (21, "odd", "<p>x"), (21, "odd", "<p>x"), (None, "http://A.example/x", "")]
