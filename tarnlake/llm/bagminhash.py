@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of, unused
+from .common import cut, give_back, hold, table, text_of, unused
 from .skew import lookup, with_first
 
 SHINGLE = 5
@@ -48,8 +48,9 @@ REGISTERS = BANDS * ROWS
 TILE = 256
 #: An estimate may fall so many standard deviations short.
 SLACK = 4.5
-#: Words of a worker's memory.
-WORDS_KEPT = 400_000
+#: Texts taken at a time; words of a worker's memory.
+TEXTS_AT_ONCE = 500
+WORDS_KEPT = 100_000
 LONGEST_KEPT = 48
 
 _SEEN: dict[str, int] = {}
@@ -160,6 +161,15 @@ def band_keys(registers, rows: int = ROWS):
     return keys.view(np.int64)
 
 
+def sliced(batches: Iterator, rows: int = TEXTS_AT_ONCE) -> Iterator:
+    """Batches of fewer rows, and memory given back at the end of the task."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    _SEEN.clear()
+    give_back()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """For every row: node (an id of the row), doc_id, digest of the multiset, marks (a byte of each register), bands."""
 
@@ -168,7 +178,8 @@ def sketches(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        hold("bagminhash", _SEEN.clear)
+        for batch in sliced(batches):
             digests, marks, bands = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
@@ -307,7 +318,7 @@ def links(groups: DataFrame, near, any_large: bool, tile: int = TILE) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
         held: list[tuple] = []
-        for batch in batches:
+        for batch in sliced(batches):
             found: list[tuple[int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] != held[0][:3]:
@@ -361,7 +372,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in sliced(batches):
             key, n, node, digest, text = batch.columns
             found = [shingles(t.as_py()) for t in text]
             # a doc_id may stand for several texts

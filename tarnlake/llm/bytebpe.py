@@ -7,8 +7,10 @@ import re
 import sys
 from array import array
 
+from .common import hold
+
 #: Words of each of a worker's two memories, and the longest word kept in them.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 LONGEST_KEPT = 48
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
@@ -56,6 +58,7 @@ class Encoder(dict):
 
     @classmethod
     def of(cls, path: str) -> Encoder:
+        hold("bytebpe", _OPEN.clear)
         if path not in _OPEN:
             _OPEN[path] = cls(path)
         return _OPEN[path]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,35 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(owner: str, forget: Callable[[], object]) -> None:
+    """In a Python worker, which Spark keeps for tasks of other operators: what `owner` remembers from now on is given up
+    by `forget` as soon as another owner begins."""
+    if owner in _HELD:
+        return
+    for other in list(_HELD):
+        _HELD.pop(other)()
+    give_back()
+    _HELD[owner] = forget
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """A column name like `name` that the documents do not have, in any case."""
     taken = {c.lower() for c in docs.columns}

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table, text_of, unused
+from .common import hold, table, text_of, unused
 
 MARK = "▁"
 #: Learned from: documents of each language, rounds of expectation maximisation, and what is added to a piece's count.
@@ -37,8 +37,8 @@ SMOOTH = 0.1
 UNKNOWN = 1e-7
 LONGEST = 32
 #: Words of a worker's memory; texts scored at a time.
-WORDS_KEPT = 400_000
-TEXTS_AT_ONCE = 500
+WORDS_KEPT = 250_000
+TEXTS_AT_ONCE = 200
 UNDETERMINED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -224,6 +224,7 @@ class Scorer:
 
     @classmethod
     def of(cls, model: Model) -> Scorer:
+        hold("langid", _OPEN.clear)
         if model.key not in _OPEN:
             _OPEN.clear()
             _OPEN[model.key] = cls(model)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table, text_of
+from .common import hold, table, text_of
 from .langid import remainder
 
 #: Labelled rows learned from at most.
@@ -32,7 +32,7 @@ SAMPLE = 5000
 #: Hashed features; shares of a text that a shape n-gram may reach; words of a worker's memory.
 SPACE = 1 << 20
 SHARES = (0.0, 0.02, 0.1, 0.3)
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 LONGEST_KEPT = 48
 #: Of the fit: smoothing of the counts, cost of an error, rounds.
 ALPHA = 1.0
@@ -200,6 +200,7 @@ def score_documents(docs: DataFrame, model: Model, keep: Sequence[str], name: st
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        hold("nbsvm", _SEEN.clear)
         score = shared.value.score
         for batch in batches:
             found = pa.array([score(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.float64())

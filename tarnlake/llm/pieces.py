@@ -24,13 +24,13 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import hold, table, text_of
 
 MARK = "▁"
 #: Words of each of a worker's two memories, and the longest word kept in them; texts encoded at a time.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 LONGEST_KEPT = 48
-TEXTS_AT_ONCE = 500
+TEXTS_AT_ONCE = 200
 
 _UNEVEN = re.compile(f"^ | $|  |{MARK}")
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -62,6 +62,7 @@ class Pieces:
 
     @classmethod
     def of(cls, path: str) -> Pieces:
+        hold("pieces", _OPEN.clear)
         if path not in _OPEN:
             _OPEN[path] = cls(path)
         return _OPEN[path]

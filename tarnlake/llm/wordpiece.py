@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import hold, table, text_of
 
 #: Words of more bytes are read one at a time; texts are read so many bytes at a time, or one by one.
 LONG = 64
@@ -118,6 +118,7 @@ class Automaton:
 
     @classmethod
     def of(cls, path: str) -> Automaton:
+        hold("wordpiece", _OPEN.clear)
         if path not in _OPEN:
             _OPEN[path] = cls(*vocabulary(path))
         return _OPEN[path]
