@@ -1,19 +1,22 @@
 """The main text of web pages, by removing site templates.
 
-The subtrees of a page's elements are hashed (names, classes and text, white space folded). Spark counts on how many
-pages of a host each hash occurs; subtrees that occur on many of them are the site's template and go. What marks itself
-as no part of the article goes too, by element (navigation, headers and footers outside the article, asides, forms,
-scripts and so on), role, or words in class and id (menus, sidebars, notices, adverts, comments); so pages of hosts with
-few pages are cleaned as well. If a page has an article or main element that holds text, only that is read.
+The subtrees of a page's elements are hashed (names, classes and text, white space folded), over the whole page, paragraphs
+and headings of articles included. Spark counts on how many pages of a host each hash occurs; subtrees that occur on many
+of them are the site's template and go. What marks itself as no part of the article goes too and is not counted, by element
+(navigation, headers and footers outside the article, asides, forms, scripts and so on), role, or words in class and id
+(menus, sidebars, notices, adverts, comments); so pages of hosts with few pages are cleaned as well, and adverts that
+change from page to page. If a page has an article or main element that holds text, only that is read.
 
 Text is cut into blocks at block elements. Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed, empty ones are left out, and the others are joined in page order by a newline. A line break
 inside a block is white space.
 
-A subtree is template when it occurs on at least LEAST_PAGES pages of the host and on at least SHARE of them. Only
-subtrees with text of at most LONGEST_SUBTREE characters are candidates; headings, inline elements and, within an article
-or main element, paragraphs and lists items are not, for a passage that many articles quote is part of each of them.
-Pages of one whole main text count as one page (copies of an article are no template).
+A subtree is template when it occurs on at least LEAST_PAGES pages of the host and on at least a share of them: SHARE, and
+more for prose, which is headings and, within an article or main element, paragraphs, list items and the like, for a
+passage that many articles quote is part of each of them. Prose is template on PROSE_SHARE of the pages, or on EDGE_SHARE
+of them where it is among the first or last EDGE pieces of prose of its article, as notices are. Only subtrees with text of
+at most LONGEST_SUBTREE characters are candidates; inline elements are not. Pages of one whole main text count as one page
+(copies of an article are no template).
 
 Defined cases: a null or empty page gives an empty text; a null or odd url is a host of its own, ''. Repeated rows each
 give a row. An empty table gives an empty table; extra columns are ignored. Nothing is dropped by length.
@@ -33,6 +36,12 @@ from .htmltree import Node, parse
 #: A subtree on so many pages of a host, and on this share of its pages, is template.
 LEAST_PAGES = 5
 SHARE = 0.3
+#: Shares for prose: anywhere, and among so many pieces of prose from either end of the article.
+PROSE_SHARE = 0.8
+EDGE_SHARE = 0.5
+EDGE = 2
+#: Kinds of subtrees, kept in the two lowest bits of their hashes.
+PLAIN, PROSE, AT_EDGE = 0, 2, 3
 LONGEST_SUBTREE = 2000
 #: The templates of all hosts are broadcast up to this size, and joined by a shuffle beyond it.
 BROADCAST_BYTES = 16 << 20
@@ -84,14 +93,25 @@ def holds_title(node: Node) -> bool:
     return False
 
 
+def unmarked(html: str) -> Node:
+    """The tree of a page without what is marked."""
+    root = parse(html)
+    rest = [root]
+    while rest:
+        node = rest.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not marked(c)]
+        rest += [c for c in node.children if not isinstance(c, str)]
+    return root
+
+
 def text_size(node: Node) -> int:
-    """Characters of text that is not marked, without white space at the edges."""
+    """Characters of text, without white space at the edges."""
     total, rest = 0, [node]
     while rest:
         for child in rest.pop().children:
             if isinstance(child, str):
                 total += len(child.strip())
-            elif not marked(child):
+            else:
                 rest.append(child)
     return total
 
@@ -105,7 +125,7 @@ def main_roots(root: Node) -> list[Node]:
             if node.name == name or name == "main" and node.rest and node.attributes.get("role") == "main":
                 found.append(node)
             else:
-                rest += [c for c in reversed(node.children) if not isinstance(c, str) and not marked(c)]
+                rest += [c for c in reversed(node.children) if not isinstance(c, str)]
         if found := [n for n in found if text_size(n)]:
             return found
     return [root]
@@ -116,19 +136,21 @@ def folded(text: str) -> str:
 
 
 def subtrees(root: Node) -> list[tuple[Node, int]]:
-    """The elements that may be template, with a hash of each subtree."""
-    inside = prose(root)
+    """The elements that may be template, with a hash of each subtree and its kind; prose at an edge comes as both kinds."""
     import xxhash
 
     out: list[tuple[Node, int]] = []
     # children before parents
-    order, rest = [], [root]
+    order: list[tuple[Node, int]] = []
+    rest = [(root, 0)]
     while rest:
-        node = rest.pop()
-        order.append(node)
-        rest += [c for c in node.children if not isinstance(c, str)]
+        node, article = rest.pop()
+        order.append((node, article))
+        article = article or (id(node) if node.name in ("article", "main") else 0)
+        rest += [(c, article) for c in reversed(node.children) if not isinstance(c, str)]
     keys: dict[int, tuple[int, int]] = {}
-    for node in reversed(order):
+    prose: dict[int, list[tuple[Node, int]]] = {}
+    for node, article in reversed(order):
         size, parts = 0, [node.name, "|", " ".join(sorted(node.attributes.get("class", "").split())) if node.rest else ""]
         for child in node.children:
             if isinstance(child, str):
@@ -141,30 +163,33 @@ def subtrees(root: Node) -> list[tuple[Node, int]]:
                 parts.append(f"<{key}")
         key = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
         keys[id(node)] = key, size
-        if 0 < size <= LONGEST_SUBTREE and node.name not in ("", "html", "body", "article", "main", "head", "title") and node.name not in _INLINE and id(node) not in inside:
-            out.append((node, key - (1 << 64) if key >= 1 << 63 else key))
+        if not 0 < size <= LONGEST_SUBTREE or node.name in ("", "html", "body", "article", "main") or node.name in _INLINE:
+            continue
+        if node.name in _HEADINGS or article and node.name in _PROSE:
+            prose.setdefault(article, []).append((node, key))
+        else:
+            out.append((node, of_kind(key, PLAIN)))
+    for found in prose.values():
+        for k, (node, key) in enumerate(found):
+            out.append((node, of_kind(key, PROSE)))
+            if k < EDGE or k >= len(found) - EDGE:
+                out.append((node, of_kind(key, AT_EDGE)))
     return out
 
 
-def prose(root: Node) -> set[int]:
-    """id() of headings, and of paragraphs and the like within an article or main element."""
-    out: set[int] = set()
-    rest = [(root, False)]
-    while rest:
-        node, inside = rest.pop()
-        inside = inside or node.name in ("article", "main")
-        if node.name in _HEADINGS or inside and node.name in ("p", "li", "blockquote", "pre", "dd", "dt", "td", "th", "figcaption"):
-            out.add(id(node))
-        rest += [(c, inside) for c in node.children if not isinstance(c, str)]
-    return out
+def of_kind(key: int, kind: int) -> int:
+    """A hash as a signed number with the kind in its lowest bits."""
+    key = key & ~3 | kind
+    return key - (1 << 64) if key >= 1 << 63 else key
 
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_PROSE = frozenset("p li blockquote pre dd dt td th figcaption".split())
 _INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 
 
 def blocks(roots: list[Node], gone: set[int]) -> list[str]:
-    """Texts of the blocks in page order, without marked elements and those whose id() is in `gone`."""
+    """Texts of the blocks in page order, without the elements whose id() is in `gone`."""
     out: list[str] = []
     held: list[str] = []
 
@@ -181,7 +206,7 @@ def blocks(roots: list[Node], gone: set[int]) -> list[str]:
                 held.append(node)
             elif after:
                 end()
-            elif node is root or not (id(node) in gone or marked(node)):
+            elif node is root or id(node) not in gone:
                 if node.name == "br":
                     held.append(" ")
                     continue
@@ -196,31 +221,21 @@ def blocks(roots: list[Node], gone: set[int]) -> list[str]:
 
 
 def candidates(html: str | None) -> tuple[list[int], int]:
-    """Distinct hashes of the subtrees of a page's main part that may be template, and a hash of its whole main text."""
+    """Distinct hashes of the subtrees of a page that may be template, and a hash of its whole main text."""
     import xxhash
 
     if not html:
         return [], 0
-    root = parse(html)
-    roots = main_roots(root)
-    whole = "\n".join(blocks(roots, set()))
-    # what is marked goes anyway, and what lies outside the main part
-    kept: set[int] = set()
-    for r in roots:
-        rest = [r]
-        while rest:
-            node = rest.pop()
-            kept.add(id(node))
-            rest += [c for c in node.children if not isinstance(c, str) and not marked(c)]
-    own = id(roots[0]) if len(roots) == 1 else None
-    return sorted({h for node, h in subtrees(root) if id(node) in kept and id(node) != own}), xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")) >> 1
+    root = unmarked(html)
+    whole = "\n".join(blocks(main_roots(root), set()))
+    return sorted({h for _, h in subtrees(root)}), xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")) >> 1
 
 
 def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page, given the hashes of its host's template."""
     if not html:
         return ""
-    root = parse(html)
+    root = unmarked(html)
     gone = {id(node) for node, h in subtrees(root) if h in template} if template else set()
     return "\n".join(blocks(main_roots(root), gone))
 
@@ -231,7 +246,8 @@ def host(url):
 
 
 def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur: on `least` pages of the host or more, and `share` of them or more.
+    """(host, hash) of the subtrees that recur: on `least` pages of the host or more, and `share` of them or more; prose on
+    the shares of prose.
 
     Pages of one main text count as one page. Counts are summed in each task before the shuffle.
     """
@@ -244,10 +260,16 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for _, w in found], pa.int64()), pa.array([h for h, _ in found], pa.list_(pa.int64()))], ["host", "whole", "hashes"])
 
     seen = pages.select(host(pages["url"]).alias("host"), pages["html"]).mapInArrow(rows, "host string, whole bigint, hashes array<bigint>")
-    once = cut(seen.groupBy("host", "whole").agg(F.first("hashes").alias("hashes")))
+    once = cut(seen.groupBy("host", "whole").agg(F.min("hashes").alias("hashes")))
     sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= least)
     counted = once.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return counted.join(sizes, "host").filter(F.col("n") >= F.col("n_pages") * share).select("host", "hash")
+    return counted.join(sizes, "host").filter(F.col("n") >= F.col("n_pages") * needed(share)).select("host", "hash")
+
+
+def needed(share: float):
+    """The share of pages that makes a subtree template, by the kind in its hash."""
+    kind = F.col("hash").bitwiseAND(3)
+    return F.when(kind == PROSE, PROSE_SHARE).when(kind == AT_EDGE, EDGE_SHARE).otherwise(share)
 
 
 def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:

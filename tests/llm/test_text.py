@@ -68,6 +68,19 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r["text"] for r in mainhtml.extract(frame).collect()} == {"the same"}
 
 
+def test_notices_in_articles_go_and_quotations_stay(spark):
+    def page(k):
+        own = [f"<p>{w} paragraph {k}</p>" for w in ("first", "second", "third", "fourth", "fifth")]
+        own.insert(k % 4 + 1, "<p>A passage quoted by many.</p>" if k % 5 < 3 else f"<p>other {k}</p>")
+        own[3:3] = ["<ul><li>Our app is out</li></ul>"]
+        return k, f"http://a.example/{k}", f"<body><article><h1>T {k}</h1>{''.join(own)}<p>Support <b>our</b> site.</p></article></body>"
+
+    got = {r["page_id"]: r["text"] for r in mainhtml.extract(spark.createDataFrame([page(k) for k in range(20)], "page_id long, url string, html string")).collect()}
+    for k, text in got.items():
+        assert "Support" not in text and "app" not in text and text.startswith(f"T {k}\n") and f"fifth paragraph {k}" in text
+        assert ("A passage quoted by many." in text) == (k % 5 < 3)
+
+
 def test_op1_on_the_test_data(spark):
     import html
 
