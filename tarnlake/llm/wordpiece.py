@@ -10,6 +10,7 @@ All words of a batch are read at once, one byte of each at a time. A word that c
 token.
 
 The vocabulary is that of a byte-level tokenizer file: pieces that start with a space are initial, the others continue.
+The space alone is no piece of a word, so a word that starts with no longer initial piece is unknown (those in Thai letters).
 
 Defined cases: a null or empty text, or one of white space only, has no words and no tokens. Repeated rows each give a
 row; an empty table gives an empty table; extra columns are ignored.
@@ -35,25 +36,23 @@ INITIAL, CONTINUING, NONE = 0, 1, -1
 _OPEN: dict[str, Automaton] = {}
 
 
+def spelling() -> dict[str, int]:
+    """The byte that each character of a byte-level piece stands for: printable ones themselves, the others in their order from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
+
+
 def vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     """Initial and continuing pieces of a byte-level tokenizer file."""
-    from tokenizers.pre_tokenizers import ByteLevel
-
-    spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-    # every character from U+0000 to U+07FF spells its bytes; together they have all bytes that UTF-8 has there
-    byte_of: dict[str, int] = {}
-    for c in map(chr, range(0x110000)):
-        if 0xD800 <= ord(c) < 0xE000 or ord(c) >= 0x800 and ord(c) % 0x1000:
-            continue
-        (spelt, _), = spell(c)
-        byte_of |= dict(zip(spelt, c.encode(), strict=True))
+    byte_of = spelling()
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     special = {t["content"] for t in spec["added_tokens"]}
     initial, continuing = [], []
     for piece in spec["model"]["vocab"]:
         if piece in special or any(c not in byte_of for c in piece):
-            continue  # bytes that no UTF-8 text has
+            continue  # no spelling of bytes
         raw = bytes(byte_of[c] for c in piece)
         if raw.startswith(b" "):
             if len(raw) > 1:

@@ -124,3 +124,49 @@ def test_op7(odd, none):
     for d, w in want:
         assert w is None or not w or (d, w) in got
     assert wordpiece.count_tokens(none, BPE).count() == 0
+
+
+def test_every_byte_of_a_text_has_its_spelling():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    byte_of = wordpiece.spelling()
+    assert len(byte_of) == 256 and set(byte_of.values()) == set(range(256))
+    seen = set()
+    for c in map(chr, [*range(0x1000), *range(0x1000, 0xD800, 61), *range(0xE000, 0x110000, 61), 0x10FFFF]):
+        (spelt, _), = spell(c)
+        assert bytes(map(byte_of.__getitem__, spelt)) == c.encode()
+        seen |= set(c.encode())
+    assert seen == set(range(256)) - {0xC0, 0xC1, *range(0xF5, 0x100)}
+
+
+def test_op7_on_hindi_and_thai(spark):
+    import json
+
+    # the file's pieces as they are spelt, texts spelt by the library
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    with open(BPE, encoding="utf-8") as file:
+        spec = json.load(file)
+    special = {t["content"] for t in spec["added_tokens"]}
+    vocab = set(spec["model"]["vocab"]) - special
+    texts = ["नमस्ते दुनिया यह एक परीक्षा है", "สวัสดีชาวโลก นี่คือการทดสอบ", "(สวัสดีชาวโลก) “นี่คือการทดสอบ”", "தமிழ் বাংলা ລາວ བོད", "plain words मिश्रित here"]
+
+    def cut(word):
+        spelt, at, n = spell(" " + word)[0][0], 0, 0
+        while at < len(spelt):
+            # the first piece has more than the space
+            end = next((e for e in range(len(spelt), at + (at == 0), -1) if spelt[at:e] in vocab), None)
+            if end is None:
+                return None
+            at, n = end, n + 1
+        return n
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in wordpiece.count_tokens(rows, BPE).collect()}
+    for k, text in enumerate(texts):
+        counts = [cut(w) for w in text.split()]
+        assert (got[k]["n_words"], got[k]["n_tokens"], got[k]["n_unknown"]) == (len(counts), sum(c or 1 for c in counts), counts.count(None))
+    # no initial piece starts Thai words, but "(" does
+    assert [got[k]["n_unknown"] for k in (0, 1, 2)] == [0, 2, 0]
