@@ -5,7 +5,8 @@ and headings of articles included. Spark counts on how many pages of a host each
 of them are the site's template and go. What marks itself as no part of the article goes too and is not counted, by element
 (navigation, headers and footers outside the article, asides, forms, scripts and so on), role, or words in class and id
 (menus, sidebars, notices, adverts, comments); so pages of hosts with few pages are cleaned as well, and adverts that
-change from page to page. If a page has an article or main element that holds text, only that is read.
+change from page to page. Only a page's article elements are read if they hold half of its text or more, else its main
+element if that does, else the whole page; what is marked or template does not count.
 
 Text is cut into blocks at block elements. Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed, empty ones are left out, and the others are joined in page order by a newline. A line break
@@ -43,6 +44,8 @@ EDGE = 2
 #: Kinds of subtrees, kept in the two lowest bits of their hashes.
 PLAIN, PROSE, AT_EDGE = 0, 2, 3
 LONGEST_SUBTREE = 2000
+#: Article or main elements are read alone if they hold this share of the page's text.
+SHARE_OF_PAGE = 0.5
 #: The templates of all hosts are broadcast up to this size, and joined by a shuffle beyond it.
 BROADCAST_BYTES = 16 << 20
 
@@ -104,30 +107,44 @@ def unmarked(html: str) -> Node:
     return root
 
 
-def text_size(node: Node) -> int:
-    """Characters of text, without white space at the edges."""
-    total, rest = 0, [node]
+def is_main(node: Node) -> bool:
+    return node.name == "main" or bool(node.rest) and node.attributes.get("role") == "main"
+
+
+def outer_header(node: Node, inside: bool) -> bool:
+    """Whether it is a header of the site, not `inside` an article or main element, or one without a heading."""
+    return node.name == "header" and not (inside and any(not isinstance(c, str) and c.name in _HEADINGS for c in node.children))
+
+
+def text_size(root: Node, gone: set[int], but: set[int] | frozenset[int] = frozenset()) -> int:
+    """Characters of text, without white space at the edges, outside the elements whose id() is in `gone` or `but`."""
+    total, rest = 0, [(root, root.name != "")]
     while rest:
-        for child in rest.pop().children:
+        node, inside = rest.pop()
+        inside = inside or node.name == "article" or is_main(node)
+        for child in node.children:
             if isinstance(child, str):
                 total += len(child.strip())
-            else:
-                rest.append(child)
+            elif not (id(child) in gone or id(child) in but or outer_header(child, inside)):
+                rest.append((child, inside))
     return total
 
 
-def main_roots(root: Node) -> list[Node]:
-    """The outermost article elements that hold text, else main elements, else the whole page."""
+def main_roots(root: Node, gone: set[int]) -> list[Node]:
+    """The outermost article elements if they hold SHARE_OF_PAGE of the page's text, else main elements, else the page."""
     for name in ("article", "main"):
         found, rest = [], [root]
         while rest:
             node = rest.pop()
-            if node.name == name or name == "main" and node.rest and node.attributes.get("role") == "main":
+            if node.name == "article" if name == "article" else is_main(node):
                 found.append(node)
             else:
-                rest += [c for c in reversed(node.children) if not isinstance(c, str)]
-        if found := [n for n in found if text_size(n)]:
-            return found
+                rest += [c for c in reversed(node.children) if not isinstance(c, str) and id(c) not in gone]
+        sizes = [text_size(n, gone) for n in found]
+        if inside := sum(sizes):
+            outside = text_size(root, gone, {id(n) for n in found})
+            if inside >= SHARE_OF_PAGE * (inside + outside):
+                return [n for n, size in zip(found, sizes, strict=True) if size]
     return [root]
 
 
@@ -199,23 +216,24 @@ def blocks(roots: list[Node], gone: set[int]) -> list[str]:
         held.clear()
 
     for root in roots:
-        rest: list = [(root, False)]
+        rest: list = [(root, root.name != "")]
         while rest:
-            node, after = rest.pop()
+            node, inside = rest.pop()
             if isinstance(node, str):
                 held.append(node)
-            elif after:
+            elif inside is None:  # after it
                 end()
             elif node is root or id(node) not in gone:
                 if node.name == "br":
                     held.append(" ")
                     continue
-                if node.name == "header" and (root.name == "" or not any(not isinstance(c, str) and c.name in _HEADINGS for c in node.children)):
-                    continue  # of the site, or without the article's heading
+                if outer_header(node, inside):
+                    continue
                 if node.name in BLOCKS:
                     end()
-                    rest.append((node, True))
-                rest += [(c, False) for c in reversed(node.children)]
+                    rest.append((node, None))
+                inside = inside or node.name == "article" or is_main(node)
+                rest += [(c, inside) for c in reversed(node.children)]
         end()
     return out
 
@@ -227,7 +245,7 @@ def candidates(html: str | None) -> tuple[list[int], int]:
     if not html:
         return [], 0
     root = unmarked(html)
-    whole = "\n".join(blocks(main_roots(root), set()))
+    whole = "\n".join(blocks(main_roots(root, set()), set()))
     return sorted({h for _, h in subtrees(root)}), xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")) >> 1
 
 
@@ -237,7 +255,7 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
         return ""
     root = unmarked(html)
     gone = {id(node) for node, h in subtrees(root) if h in template} if template else set()
-    return "\n".join(blocks(main_roots(root), gone))
+    return "\n".join(blocks(main_roots(root, gone), gone))
 
 
 def host(url):

@@ -81,6 +81,25 @@ def test_notices_in_articles_go_and_quotations_stay(spark):
         assert ("A passage quoted by many." in text) == (k % 5 < 3)
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class=text><p>The long main text of this page.</div><div class=more><article><p>teaser</p></article></div>", "The long main text of this page.\nteaser"),
+        ("<div>menu of the site</div><main><p>The long main text of this page.<article><p>teaser</p></article></main>", "The long main text of this page.\nteaser"),
+        ("<div>some links</div><article><p>The long main text of this page.</article>", "The long main text of this page."),
+        ("<header>Site</header><div>A text longer than the card.</div><article><header><h2>Card</h2></header><p>teaser</article>", "A text longer than the card.\nCard\nteaser"),
+        ("<nav>long list of pages of this site</nav><div class=related>and others that may be read</div><article><p>short</article>", "short"),
+    ],
+)
+def test_a_small_article_element_displaces_nothing(html, text):
+    assert mainhtml.main_text(f"<body>{html}</body>") == text
+
+
+def test_the_share_of_an_article_is_without_the_template(spark):
+    frame = spark.createDataFrame([(k, f"http://a.example/{k}", f"<body><div><p>{'a template longer than the text ' * 3}</div><article><p>text {k}</article></body>") for k in range(8)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in mainhtml.extract(frame).collect()} == {k: f"text {k}" for k in range(8)}
+
+
 def test_op1_on_the_test_data(spark):
     import html
 
