@@ -12,12 +12,14 @@ Text is cut into blocks at block elements. Character references are decoded, whi
 space, blocks are trimmed, empty ones are left out, and the others are joined in page order by a newline. A line break
 inside a block is white space.
 
-A subtree is template when it occurs on at least LEAST_PAGES pages of the host and on at least a share of them: SHARE, and
-more for prose, which is headings and, within an article or main element, paragraphs, list items and the like, for a
+A subtree is template of a host, or of one section of it (the first part of the url's path, if more follows), when it
+occurs on at least LEAST_PAGES pages of the host or section and on at least a share of them: SHARE, and more for prose, which is headings and, within an article or main element, paragraphs, list items and the like, for a
 passage that many articles quote is part of each of them. Prose is template on PROSE_SHARE of the pages, or on EDGE_SHARE
-of them where it is among the first or last EDGE pieces of prose of its article, as notices are. Only subtrees with text of
-at most LONGEST_SUBTREE characters are candidates; inline elements are not. Pages of one whole main text count as one page
-(copies of an article are no template).
+of them where it is among the first or last EDGE pieces of prose of its article, as notices are. In a section, where fewer pages
+meet by chance, what is no box needs EDGE_SHARE, and prose PROSE_SHARE and twice LEAST_PAGES. Whatever the share, a box
+is template on MANY_PAGES pages of the host: an element other than prose and lone paragraphs, list items and table rows that
+holds a link or several pieces of prose. Subtrees of any length are candidates; inline elements are not. Pages of one whole
+main text count as one page (copies of an article are no template).
 
 Defined cases: a null or empty page gives an empty text; a null or odd url is a host of its own, ''. Repeated rows each
 give a row. An empty table gives an empty table; extra columns are ignored. Nothing is dropped by length.
@@ -29,6 +31,7 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -42,8 +45,11 @@ PROSE_SHARE = 0.8
 EDGE_SHARE = 0.5
 EDGE = 2
 #: Kinds of subtrees, kept in the two lowest bits of their hashes.
-PLAIN, PROSE, AT_EDGE = 0, 2, 3
-LONGEST_SUBTREE = 2000
+PLAIN, BOX, PROSE, AT_EDGE = range(4)
+#: Stands for every page itself among the hashes.
+PAGE = 0
+#: A box on so many pages of a host is template whatever their share.
+MANY_PAGES = 100
 #: Article or main elements are read alone if they hold this share of the page's text.
 SHARE_OF_PAGE = 0.5
 #: The templates of all hosts are broadcast up to this size, and joined by a shuffle beyond it.
@@ -165,27 +171,29 @@ def subtrees(root: Node) -> list[tuple[Node, int]]:
         order.append((node, article))
         article = article or (id(node) if node.name in ("article", "main") else 0)
         rest += [(c, article) for c in reversed(node.children) if not isinstance(c, str)]
-    keys: dict[int, tuple[int, int]] = {}
+    keys: dict[int, tuple[int, int, int]] = {}  # hash, characters, pieces of prose (a link counts as two)
     prose: dict[int, list[tuple[Node, int]]] = {}
     for node, article in reversed(order):
-        size, parts = 0, [node.name, "|", " ".join(sorted(node.attributes.get("class", "").split())) if node.rest else ""]
+        size, pieces, parts = 0, 2 * (node.name == "a"), [node.name, "|", " ".join(sorted(node.attributes.get("class", "").split())) if node.rest else ""]
         for child in node.children:
             if isinstance(child, str):
                 if t := folded(child):
                     size += len(t)
                     parts += ["=", t]
             else:
-                key, n = keys[id(child)]
+                key, n, held = keys[id(child)]
                 size += n
+                pieces += held
                 parts.append(f"<{key}")
         key = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
-        keys[id(node)] = key, size
-        if not 0 < size <= LONGEST_SUBTREE or node.name in ("", "html", "body", "article", "main") or node.name in _INLINE:
+        lone = node.name in _HEADINGS or node.name in _PROSE
+        keys[id(node)] = key, size, pieces or int(lone and size > 0)
+        if not size or node.name in ("", "html", "body", "article", "main") or node.name in _INLINE:
             continue
         if node.name in _HEADINGS or article and node.name in _PROSE:
             prose.setdefault(article, []).append((node, key))
         else:
-            out.append((node, of_kind(key, PLAIN)))
+            out.append((node, of_kind(key, BOX if pieces > 1 and not lone else PLAIN)))
     for found in prose.values():
         for k, (node, key) in enumerate(found):
             out.append((node, of_kind(key, PROSE)))
@@ -201,7 +209,7 @@ def of_kind(key: int, kind: int) -> int:
 
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-_PROSE = frozenset("p li blockquote pre dd dt td th figcaption".split())
+_PROSE = frozenset("p li blockquote pre dd dt td th tr figcaption".split())
 _INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 
 
@@ -263,9 +271,14 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def section(url):
+    """The first part of a url's path, if more follows; else ''."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/+([^/?#]+)/", 1)
+
+
 def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur: on `least` pages of the host or more, and `share` of them or more; prose on
-    the shares of prose.
+    """(host, section, hash) of the subtrees that recur: on `least` pages of the host or more, and `share` of them or more;
+    prose on the shares of prose, boxes on MANY_PAGES; or in the same way of a section. section is null for the whole host.
 
     Pages of one main text count as one page. Counts are summed in each task before the shuffle.
     """
@@ -274,14 +287,22 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE)
         import pyarrow as pa
 
         for batch in batches:
-            found = [candidates(h.as_py()) for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for _, w in found], pa.int64()), pa.array([h for h, _ in found], pa.list_(pa.int64()))], ["host", "whole", "hashes"])
-
-    seen = pages.select(host(pages["url"]).alias("host"), pages["html"]).mapInArrow(rows, "host string, whole bigint, hashes array<bigint>")
-    once = cut(seen.groupBy("host", "whole").agg(F.min("hashes").alias("hashes")))
-    sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= least)
-    counted = once.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return counted.join(sizes, "host").filter(F.col("n") >= F.col("n_pages") * needed(share)).select("host", "hash")
+            found = [candidates(h.as_py()) for h in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w for _, w in found], pa.int64()), pa.array([[PAGE, *h] for h, _ in found], pa.list_(pa.int64()))], ["host", "section", "whole", "hashes"])
+
+    seen = pages.select(host(pages["url"]).alias("host"), section(pages["url"]).alias("section"), pages["html"]).mapInArrow(rows, "host string, section string, whole bigint, hashes array<bigint>")
+    once = cut(seen.groupBy("host", "whole").agg(F.min(F.struct("section", "hashes")).alias("page")).select("host", "page.*"))
+    counted = once.select("host", "section", F.explode("hashes").alias("hash")).groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n"))
+    of_host = counted.groupBy("host", "hash").agg(F.sum("n").alias("n")).select("host", F.lit(None).cast("string").alias("section"), "hash", "n")
+    # few hashes recur so often; the number of pages is that of PAGE
+    often = of_host.unionByName(counted.filter(F.col("section") != "")).filter(F.col("n") >= least)
+    n_pages = F.max(F.when(F.col("hash") == PAGE, F.col("n"))).over(W.partitionBy("host", "section"))
+    kind = F.col("hash").bitwiseAND(3)
+    enough = F.col("n") >= F.col("n_pages") * needed(share)
+    many = (kind == BOX) & (F.col("n") >= MANY_PAGES)
+    sure = F.when(kind == BOX, enough).when(kind == PLAIN, F.col("n") >= F.col("n_pages") * max(share, EDGE_SHARE)).otherwise((kind == PROSE) & enough & (F.col("n") >= 2 * least))
+    found = often.withColumn("n_pages", n_pages).filter(F.col("hash") != PAGE).filter(F.when(F.col("section").isNull(), enough | many).otherwise(sure))
+    return found.select("host", "section", "hash")
 
 
 def needed(share: float):
@@ -292,20 +313,23 @@ def needed(share: float):
 
 def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """For every page: page_id, url, text, n_chars."""
-    # few hashes recur on so many pages; a host's list is what its pages need
-    lists = cut(templates(pages, least, share).groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("template")))
+    # few hashes recur on so many pages; a host's and a section's lists are what their pages need
+    lists = cut(templates(pages, least, share).groupBy("host", "section").agg(F.sort_array(F.collect_set("hash")).alias("template")))
+    of_host = lists.filter(F.col("section").isNull()).select("host", "template")
+    of_section = lists.filter(F.col("section").isNotNull()).select("host", "section", F.col("template").alias("more"))
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = [main_text(h.as_py(), frozenset(t.as_py() or ())) for h, t in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [main_text(h.as_py(), frozenset(t.as_py() or ()).union(m.as_py() or ())) for h, t, m in zip(*batch.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    known = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"], host(pages["url"]).alias("host"))
+    known = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"], host(pages["url"]).alias("host"), section(pages["url"]).alias("section"))
     # a checked size decides whether the pages have to be shuffled
-    size = lists.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + 64)).first()[0] or 0
-    joined = known.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "host", "left").select("page_id", "url", "html", "template")
+    size = lists.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + F.coalesce(F.octet_length("section"), F.lit(0)) + 64)).first()[0] or 0
+    small = F.broadcast if size <= BROADCAST_BYTES else lambda frame: frame
+    joined = known.join(small(of_host), "host", "left").join(small(of_section), ["host", "section"], "left").select("page_id", "url", "html", "template", "more")
     return joined.mapInArrow(rows, "page_id bigint, url string, text string").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -81,6 +81,25 @@ def test_notices_in_articles_go_and_quotations_stay(spark):
         assert ("A passage quoted by many." in text) == (k % 5 < 3)
 
 
+@pytest.mark.parametrize("broadcast", [1 << 24, 0])
+def test_long_templates_and_those_of_sections_go(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mainhtml, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(mainhtml, "MANY_PAGES", 12)
+    cloud = "<div>" + "".join(f"<a href=/{k}>topic number {k}</a> " for k in range(200)) + "</div>"
+    box = lambda of: f"<div><p>About {of}</p><a href=/>more</a></div>"
+
+    def page(k):
+        path, own = f"p{k}", ""
+        if k < 8:
+            path, own = f"news/p{k}", box("the news") + "<p>Our news are read by many.</p>"
+        elif k < 22:
+            own = box("everything") + "<div><p>A quotation.</p></div>"
+        return k, f"http://a.example/{path}", f"<body>{cloud}<div>own text {k}</div>{own}</body>"
+
+    got = {r["page_id"]: r["text"] for r in mainhtml.extract(spark.createDataFrame([page(k) for k in range(80)], "page_id long, url string, html string")).collect()}
+    assert got == {k: f"own text {k}" + ("\nA quotation." if 8 <= k < 22 else "") for k in range(80)}
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
