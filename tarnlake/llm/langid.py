@@ -302,7 +302,12 @@ def learnable(docs: DataFrame):
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose text has letters and whose language is clear: a posterior of `least` or more."""
+    """The rows of `docs` whose text has letters and whose language is clear: a posterior of `least` or more.
+
+    Where no language could be learned, all rows whose text has letters.
+    """
+    if not model.languages:
+        return docs.filter(text_of(docs).rlike(r"\p{L}"))
     lang, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
     found = identify(docs, model, docs.columns, (lang, score))
     return found.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)

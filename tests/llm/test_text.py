@@ -283,6 +283,23 @@ def test_op10_odd_rows(odd, none):
     assert langid.keep_identified(odd, model).columns == odd.columns
 
 
+def test_without_a_language_all_texts_with_letters_pass(spark, odd, none):
+    empty = langid.train(none, langid.learnable(none), MODEL)
+    has = lambda r: any(c.isalpha() for c in r["text"] or "")
+    got = langid.keep_identified(odd, empty)
+    assert got.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(r["doc_id"]) for r in odd.collect() if has(r))
+
+
+def test_few_short_clean_documents_are_dropped(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(docs, langid.learnable(docs), MODEL)
+    short = docs.filter((F.size(F.split("text", " ")) <= 7) & F.col("text").rlike(r"^[\p{L}\p{M} .,]*\p{L}[\p{L}\p{M} .,]*$")).cache()
+    n, kept = short.count(), langid.keep_identified(short, model).count()
+    print("short clean documents", n, "kept", kept)
+    assert n and kept >= 0.99 * n
+
+
 # the pipeline ----------------------------------------------------------------------------------------------------------
 
 
