@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import hold, table, text_of, unused
+from .common import cut, hold, table, text_of, unused
 
 MARK = "▁"
 #: Learned from: documents of each language, rounds of expectation maximisation, and what is added to a piece's count.
@@ -200,11 +200,20 @@ def train(docs: DataFrame, learn, model: str, sample: int = SAMPLE) -> Model:
     if not rows:
         return fit({}, {}, Vocabulary.of_model(model))
     place = F.xxhash64("doc_id")
-    # places are evenly spread: of a language, so many more than `sample` lie below this share that fewer never happen
-    below = F.create_map(*(F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, (sample + 12 * sample**0.5 + 50) / n))))
-    near = may.select("doc_id", "lang").filter((place / F.lit(2.0**64) + 0.5) <= below[F.col("lang")])
-    order = W.partitionBy("lang").orderBy(place, "doc_id")
-    chosen = near.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample).drop("nth")
+    # places are evenly spread: of a language without repeated doc_ids, many more than `sample` lie below this share
+    shares = {lang: min(1.0, (sample + 12 * sample**0.5 + 50) / n) for lang, n in rows.items()}
+
+    def first() -> DataFrame:
+        below = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
+        near = may.select("doc_id", "lang").filter((place / F.lit(2.0**64) + 0.5) <= below[F.col("lang")])
+        order = W.partitionBy("lang").orderBy(place, "doc_id")
+        return cut(near.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample).drop("nth"))
+
+    chosen = first()
+    found = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if short := [lang for lang, share in shares.items() if share < 1 and found.get(lang, 0) < sample]:
+        shares |= dict.fromkeys(short, 1.0)  # repeated doc_ids: all are looked at
+        chosen = first()
     texts = may.join(F.broadcast(chosen), ["doc_id", "lang"])
     counts: dict[str, Counter] = {}
     for r in texts.select("lang", "text").toLocalIterator():

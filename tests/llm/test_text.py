@@ -283,6 +283,14 @@ def test_op10_odd_rows(odd, none):
     assert langid.keep_identified(odd, model).columns == odd.columns
 
 
+def test_the_sample_of_repeated_doc_ids_is_not_cut_short(spark):
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    ids = [r["doc_id"] for r in spark.range(100).withColumnRenamed("id", "doc_id").filter(place > 0.6).limit(3).collect()]
+    docs = spark.createDataFrame([(d, f"some words of text {d}", "en") for d in ids for _ in range(1000)], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), MODEL)
+    assert model.languages == ["en"] and np.ptp(model.chances[:, 0]) > 0
+
+
 def test_without_a_language_all_texts_with_letters_pass(spark, odd, none):
     empty = langid.train(none, langid.learnable(none), MODEL)
     has = lambda r: any(c.isalpha() for c in r["text"] or "")
