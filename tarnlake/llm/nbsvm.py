@@ -52,7 +52,7 @@ def word_codes(word: str) -> tuple[int, int]:
         shape = word
         for pattern, sign in _KINDS:
             shape = pattern.sub(sign, shape)
-        found = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")), zlib.crc32(shape[:16].encode("utf-8", "surrogatepass"))
+        found = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")), zlib.crc32(shape.encode("utf-8", "surrogatepass"))
         if len(word) <= LONGEST_KEPT:
             if len(_SEEN) >= WORDS_KEPT:
                 _SEEN.clear()

@@ -149,6 +149,12 @@ def test_ratios_are_of_smoothed_shares():
     assert math.isclose(r[3], math.log((3 / 4) / (1 / 3))) and math.isclose(r[5], math.log((2 / 4) / (2 / 3)))
 
 
+def test_shapes_are_hashed_whole():
+    start = "a-b." * 8
+    assert nbsvm.word_codes(start + "x_1")[1] != nbsvm.word_codes(start + "X=1")[1]
+    assert nbsvm.word_codes(start + "xy_1")[1] == nbsvm.word_codes(start + "z_22")[1]
+
+
 def test_op4_on_rows_held_out(spark):
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
     got = nbsvm.op4_quality(spark, MIDDLE)
