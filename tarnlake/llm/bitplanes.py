@@ -13,8 +13,8 @@ a lost executor leaves no half-written shard:
     index:  the chunk index: shard, block, start (ids in all blocks before), n_ids, n_bytes, n_docs
 
 Defined cases: a null text counts as empty and has the end id only; a null doc_id comes first; rows that repeat a doc_id
-are documents of their own, in the order of their texts. An empty table gives an empty folder of the same schema. Extra
-columns are ignored.
+are documents of their own, in the order of a hash of their texts. A text of any length is encoded whole; its ids may
+fill many blocks. An empty table gives an empty folder of the same schema. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytebpe import Encoder
 from .common import shared_dir, table, text_of
+from .words import slices
 
 #: Ids in a block; what is appended to each document.
 BLOCK = 65_536
@@ -84,38 +85,40 @@ def write_documents(docs: DataFrame, path: str, vocabulary: str, end: int = END,
         many = pa.list_(pa.int64())
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int32()), ("kind", pa.string()), ("planes", pa.list_(pa.binary())), ("doc_ids", many), ("begins", many), ("lengths", many)])
         encoder, number = Encoder.of(vocabulary), TaskContext.get().partitionId()
-        last = np.array([end], "<u4").tobytes()
         held, n_held, made, open_docs, at = [], 0, 0, [], 0  # at: ids of the shard so far
 
         def out(ids) -> pa.RecordBatch:
             nonlocal made, open_docs
-            first, stop = made * block, made * block + len(ids)
+            stop = made * block + len(ids)
             row = {"shard": number, "block": made, "n_ids": len(ids), "kind": kind, "planes": to_planes(ids, kind)}
             row |= dict(zip(("doc_ids", "begins", "lengths"), map(list, zip(*[d for d in open_docs if d[1] < stop], strict=True)), strict=True))
             open_docs = [d for d in open_docs if d[1] + d[2] > stop]
-            assert first < stop
             made += 1
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py()) + last
-                open_docs.append((doc_id.as_py(), at, len(ids) // 4))
-                at += len(ids) // 4
+            for some in slices(batch, 1):
+                ids, sizes = encoder.encode(some.column(1), end)
+                encoder.check(some.column(1)[0].as_py(), ids[: sizes[0] - 1])
+                begins = at + np.cumsum(sizes) - sizes
+                open_docs += zip(some.column(0).to_pylist(), begins.tolist(), sizes.tolist(), strict=True)
+                at += len(ids)
                 held.append(ids)
-                n_held += len(ids) // 4
+                n_held += len(ids)
                 if n_held >= block:
-                    every = np.frombuffer(b"".join(held), "<u4")
-                    while len(every) >= block:
-                        yield out(every[:block])
-                        every = every[block:]
-                    held, n_held = [every.tobytes()], len(every)
+                    every = np.concatenate(held)
+                    for k in range(0, n_held - block + 1, block):
+                        yield out(every[k : k + block])
+                    n_held %= block
+                    held = [every[len(every) - n_held :].copy()]
         if n_held:
-            yield out(np.frombuffer(b"".join(held), "<u4"))
+            yield out(np.concatenate(held))
 
-    whole = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    sorted_ = whole.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    sorted_.mapInArrow(shard, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    whole = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), F.xxhash64(text_of(docs)).alias("turn"))
+    # rows of one doc_id, or of none, are spread by the hash
+    order = ("doc_id", "turn", "text")
+    sorted_ = whole.repartitionByRange("doc_id", "turn").sortWithinPartitions(*order)
+    sorted_.select("doc_id", "text").mapInArrow(shard, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     blocks = docs.sparkSession.read.parquet(f"{path}/blocks")
     sizes = blocks.select("shard", "block", "n_ids", F.aggregate("planes", F.lit(0), lambda n, p: n + F.octet_length(p)).alias("n_bytes"), F.size("doc_ids").alias("n_docs"))
     # one row for each shard, of which there are as many as tasks
@@ -127,31 +130,41 @@ def write_documents(docs: DataFrame, path: str, vocabulary: str, end: int = END,
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before), ids (little-endian unsigned 32-bit integers)."""
 
-    def unpack(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = from_planes(row["planes"], row["n_ids"], row["kind"])
-                first, stop = row["first"], row["first"] + row["n_ids"]
-                parts = [
-                    {"shard": row["shard"], "block": row["block"], "doc_id": d, "begin": b, "length": n, "ids": ids[max(b, first) - first : min(b + n, stop) - first].tobytes()}
-                    for d, b, n in zip(row["doc_ids"], row["begins"], row["lengths"], strict=True)
-                ]
-                yield pa.RecordBatch.from_pylist(parts, schema)
+    def unpack(whole: bool):
+        """Documents that lie in one block, or else the parts of others."""
+
+        def rows(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                at = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+                for k in range(batch.num_rows):
+                    n_ids, first = at["n_ids"][k].as_py(), at["first"][k].as_py()
+                    ids = from_planes(at["planes"][k].as_py(), n_ids, at["kind"][k].as_py())
+                    docs, begins, lengths = (at[n][k].values for n in ("doc_ids", "begins", "lengths"))
+                    begin, length = begins.to_numpy(), lengths.to_numpy()
+                    lo, hi = np.maximum(begin - first, 0), np.minimum(begin + length - first, n_ids)
+                    rows = np.flatnonzero((hi - lo == length) == whole)
+                    if len(rows):
+                        size = len(rows)
+                        picked = pa.array([ids[a:b].tobytes() for a, b in zip(lo[rows].tolist(), hi[rows].tolist(), strict=True)], pa.binary())
+                        columns = [pa.array([at[n][k].as_py()] * size, pa.int32()) for n in ("shard", "block")]
+                        columns += [x.take(pa.array(rows)) for x in (docs, begins, lengths)] + [picked]
+                        yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "doc_id", "begin", "length", "ids"])
+
+        return rows
 
     blocks, index = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/index")
     bases = F.broadcast(index.filter("block = 0").select("shard", F.col("start").alias("base")))
     # blocks of a shard follow each other, each as long as the first but the last
     full = F.broadcast(index.groupBy("shard").agg(F.max("n_ids").alias("full")))
     placed = blocks.join(full, "shard").withColumn("first", F.col("block").cast("long") * F.col("full"))
-    parts = placed.select("shard", "block", "n_ids", "kind", "planes", "doc_ids", "begins", "lengths", "first").mapInArrow(unpack, PARTS)
-    whole = F.octet_length("ids") == F.col("length") * 4
-    once = parts.filter(whole).select("shard", "doc_id", "begin", "ids")
-    # a document in several blocks: its own parts, in order
-    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("block", "ids"))), F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    again = parts.filter(~whole).groupBy("shard", "doc_id", "begin").agg(joined.alias("ids"))
+    placed = placed.select("shard", "block", "n_ids", "kind", "planes", "doc_ids", "begins", "lengths", "first")
+    once = placed.mapInArrow(unpack(True), PARTS).select("shard", "doc_id", "begin", "ids")
+    # a document in several blocks: its own parts, in order, joined at once
+    joined = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "ids"))), lambda x: F.hex(x["ids"])), ""))
+    again = placed.mapInArrow(unpack(False), PARTS).groupBy("shard", "doc_id", "begin").agg(joined.alias("ids"))
     return once.unionByName(again.select("shard", "doc_id", "begin", "ids")).join(bases, "shard").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "ids")
 
 
