@@ -2,16 +2,18 @@
 
 The pieces of a fixed public vocabulary have a probability in each language. A text is its words (runs of letters, in
 lower case, the space mark before each); the probability of a word is the sum over all ways to cut it into pieces, taken
-by a forward algorithm over all words of a batch at once. The language with the highest product of prior and word
-probabilities is predicted; its posterior is the score.
+by a forward algorithm over all words of a batch at once, and for words of more than LONGEST letters over one word at a
+time, in logarithms. The language with the highest product of prior and word probabilities is predicted; its posterior is
+the score.
 
 Piece probabilities are learned by expectation maximisation over the words of a bounded sample: of the rows that may be
-learned from, the first SAMPLE of each language in the order of a hash of the doc_id. Priors count all rows that may be
-learned from.
+learned from, the first SAMPLE of each language in the order of a hash of the doc_id; of rows that repeat a doc_id the
+least text. Their words are counted by Spark. Priors count all rows that may be learned from.
 
-Defined cases: a null text, or one without letters, gives `und` and score 0; so does every text where no language can be
-learned. Rows whose doc_id is null are held out. A word longer than LONGEST letters is scored in parts of that length.
-Repeated rows each give a row, an empty table an empty table; columns named in `keep` pass through.
+Letters are the characters of Unicode's categories L. Defined cases: a null text, or one without letters, gives `und` and
+score 0; so does every text where no language can be learned. Rows whose doc_id is null are held out. Texts and words of
+any length are scored whole: slices hold BYTES_AT_ONCE bytes of text or one longer text. Repeated rows each give a row, an
+empty table an empty table; columns named in `keep` pass through.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import cut, hold, table, text_of, unused
+from .words import slices
 
 MARK = "▁"
 #: Learned from: documents of each language, rounds of expectation maximisation, and what is added to a piece's count.
@@ -35,18 +38,24 @@ ROUNDS = 2
 SMOOTH = 0.1
 #: Probability of a letter that no piece covers, for any language.
 UNKNOWN = 1e-7
+#: Words of up to so many letters are taken many at a time and remembered; their probabilities are far from underflow.
 LONGEST = 32
-#: Words of a worker's memory; texts scored at a time.
+#: Words of a worker's memory; bytes of text scored at a time.
 WORDS_KEPT = 250_000
-TEXTS_AT_ONCE = 200
+BYTES_AT_ONCE = 1 << 20
 UNDETERMINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 _OPEN: dict[str, Scorer] = {}
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, in lower case."""
+    found = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # numbers such as a half, or in circles, are no letters
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 class Vocabulary:
@@ -114,6 +123,32 @@ class Vocabulary:
                     yield i, j + 1, rows[ends], pieces[ends]
 
 
+    def edges_of(self, codes):
+        """(starts, ends, pieces, first) of one word of any length, in the order of ends; those that end at j stand from
+        first[j] to first[j + 1]."""
+        import numpy as np
+
+        n = len(codes)
+        at, nodes = np.arange(n), np.zeros(n, np.int64)
+        out = [np.zeros((3, 0), np.int64)]
+        for depth in range(self.longest):
+            inside = at + depth < n
+            at, nodes = at[inside], nodes[inside]
+            code = codes[at + depth]
+            keys = nodes * self.width + code
+            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            alive = (self.keys[found] == keys) & (code > 0)
+            at, nodes = at[alive], self.to[found[alive]]
+            if not len(at):
+                break
+            pieces = self.piece[nodes]
+            whole = pieces >= 0
+            out.append(np.array([at[whole], at[whole] + depth + 1, pieces[whole]]))
+        starts, ends, pieces = np.concatenate(out, 1)
+        order = np.argsort(ends, kind="stable")
+        return starts[order], ends[order], pieces[order], np.searchsorted(ends[order], np.arange(n + 2))
+
+
 def by_length(words: Sequence[str]) -> list[list[str]]:
     groups: dict[int, list[str]] = {}
     for w in words:
@@ -166,6 +201,43 @@ def expected(codes, weights, vocabulary: Vocabulary, chances):
     return counts
 
 
+def log_sum(x):
+    """Logarithm of the sum of exp(x) over the first axis."""
+    import numpy as np
+
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
+def log_forward(n: int, edges, logs):
+    """What `forward` adds up on the way, for one word of n characters: log probabilities by place and language."""
+    import numpy as np
+
+    starts, _, pieces, first = edges
+    alone = np.log(UNKNOWN)
+    alpha = np.zeros((n + 1, logs.shape[1]))
+    for j in range(1, n + 1):
+        a, b = first[j], first[j + 1]
+        alpha[j] = log_sum(np.concatenate([alpha[j - 1 : j] + alone, alpha[starts[a:b]] + logs[pieces[a:b]]]))
+    return alpha
+
+
+def expected_of(codes, weight: float, vocabulary: Vocabulary, chances):
+    """What `expected` gives, for one word of any length."""
+    import numpy as np
+
+    n = len(codes)
+    starts, ends, pieces, first = vocabulary.edges_of(codes)
+    logs = np.log(chances)[:, None]
+    alpha = log_forward(n, (starts, ends, pieces, first), logs)
+    # backwards: the same on the word's mirror image
+    order = np.argsort(-starts, kind="stable")
+    mirrored = (n - ends[order], n - starts[order], pieces[order], np.searchsorted(n - starts[order], np.arange(n + 2)))
+    beta = log_forward(n, mirrored, logs)[::-1]
+    share = np.exp(alpha[starts, 0] + logs[pieces, 0] + beta[ends, 0] - alpha[n, 0])
+    return weight * np.bincount(pieces, share, len(chances))
+
+
 class Model:
     """Languages, log priors, the vocabulary, and the pieces' probabilities in each language."""
 
@@ -181,13 +253,15 @@ def fit(counts: dict[str, Counter], rows: dict[str, int], vocabulary: Vocabulary
     languages = sorted(rows)
     chances = np.full((vocabulary.n, len(languages)), 1 / max(1, vocabulary.n))
     for k, lang in enumerate(languages):
-        parts: Counter = Counter()
-        for w, n in counts.get(lang, {}).items():
-            for at in range(0, len(w), LONGEST):
-                parts[w[at : at + LONGEST]] += n
-        groups = [(vocabulary.codes(g), np.array([parts[w] for w in g], float)) for g in by_length(list(parts))]
+        own = counts.get(lang, {})
+        groups = [(vocabulary.codes(g), np.array([own[w] for w in g], float)) for g in by_length(sorted(own))]
         for _ in range(rounds):
-            total = sum((expected(c, n, vocabulary, chances[:, k]) for c, n in groups), np.zeros(vocabulary.n)) + SMOOTH
+            total = np.full(vocabulary.n, SMOOTH)
+            for c, n in groups:
+                if c.shape[1] <= LONGEST + 1:
+                    total += expected(c, n, vocabulary, chances[:, k])
+                else:
+                    total += sum(expected_of(row, m, vocabulary, chances[:, k]) for row, m in zip(c, n, strict=True))
             chances[:, k] = total / total.sum()
     n = np.array([rows[x] for x in languages], float)
     return Model(languages, np.log(n / n.sum()) if len(n) else n, vocabulary, chances)
@@ -214,10 +288,21 @@ def train(docs: DataFrame, learn, model: str, sample: int = SAMPLE) -> Model:
     if short := [lang for lang, share in shares.items() if share < 1 and found.get(lang, 0) < sample]:
         shares |= dict.fromkeys(short, 1.0)  # repeated doc_ids: all are looked at
         chosen = first()
-    texts = may.join(F.broadcast(chosen), ["doc_id", "lang"])
+    texts = may.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def words(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = Counter(words_of(text.as_py() or ""))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+
+    # distinct words of a bounded sample
+    counted = texts.select("lang", "text").mapInArrow(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {}
-    for r in texts.select("lang", "text").toLocalIterator():
-        counts.setdefault(r["lang"], Counter()).update(words_of(r["text"] or ""))
+    for r in counted.toLocalIterator():
+        counts.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
     return fit(counts, rows, Vocabulary.of_model(model))
 
 
@@ -229,6 +314,7 @@ class Scorer:
 
         self.model = model
         self.known: dict[str, int] = {}
+        self.n = 0
         self.logs = np.zeros((1 << 16, len(model.languages)))
 
     @classmethod
@@ -243,17 +329,19 @@ class Scorer:
         import numpy as np
 
         v, chances = self.model.vocabulary, self.model.chances
-        need = len(self.known) + len(words)
+        need = self.n + len(words)
         if need > len(self.logs):
             self.logs = np.concatenate([self.logs, np.zeros((max(need, 2 * len(self.logs)) - len(self.logs), self.logs.shape[1]))])
         for group in by_length(words):
             for at in range(0, len(group), 20_000):
                 some = group[at : at + 20_000]
-                size = len(some[0])
-                logs = sum(np.log(forward(v.codes([w[k : k + LONGEST] for w in some]), v, chances)) for k in range(0, size, LONGEST))
-                first = len(self.known)
-                self.known.update(zip(some, range(first, first + len(some)), strict=True))
-                self.logs[first : first + len(some)] = logs
+                if len(some[0]) <= LONGEST:
+                    logs = np.log(forward(v.codes(some), v, chances))
+                else:
+                    logs = [log_forward(len(w) + 1, v.edges_of(v.codes([w])[0]), np.log(chances))[-1] for w in some]
+                self.known.update(zip(some, range(self.n, self.n + len(some)), strict=True))
+                self.logs[self.n : self.n + len(some)] = logs
+                self.n += len(some)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         import numpy as np
@@ -262,11 +350,11 @@ class Scorer:
         cut = [words_of(t) if t else [] for t in texts]
         if not m.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        if len(self.known) >= WORDS_KEPT:
+        if self.n >= WORDS_KEPT:
             self.known.clear()
-        fresh = set().union(*cut).difference(self.known)
-        if fresh:
-            self.learn(sorted(fresh))
+            self.n = 0
+        fresh = sorted(set().union(*cut).difference(self.known))
+        self.learn(fresh)
         out, scores = [], []
         for words in cut:
             if not words:
@@ -277,6 +365,9 @@ class Scorer:
             best = int(total.argmax())
             out.append(m.languages[best])
             scores.append(float(1 / np.exp(total - total[best]).sum()))
+        for w in fresh:
+            if len(w) > LONGEST:
+                del self.known[w]
         return out, scores
 
 
@@ -292,8 +383,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str], names: tuple[st
 
         scorer = Scorer.of(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                some = batch.slice(at, TEXTS_AT_ONCE)
+            for some in slices(batch, batch.num_columns - 1, BYTES_AT_ONCE):
                 lang, score = scorer.score(some.column(some.num_columns - 1).to_pylist())
                 columns = [*some.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *names])

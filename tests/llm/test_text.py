@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
@@ -155,6 +157,91 @@ def test_shapes_are_hashed_whole():
     assert nbsvm.word_codes(start + "xy_1")[1] == nbsvm.word_codes(start + "z_22")[1]
 
 
+def plain_features(text):
+    """The features of a text one by one, without arrays."""
+    full, half, words = (1 << 64) - 1, nbsvm.SPACE // 2, text.split()
+    step = 0x100000001B3
+    place = lambda x: ((x * 0x9E3779B97F4A7C15 & full) >> 29) % half
+
+    def kind(c):
+        if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×":
+            return "A"
+        if c.isdecimal():
+            return "0"
+        return "a" if re.match(r"\w", c) and c != "_" else c
+
+    hashes = [zlib.crc32(w.lower().encode()) for w in words]
+    out, seen, signs = set(), set(), []
+    for k, w in enumerate(words):
+        pair = (hashes[k - 1] * step + hashes[k]) & full if k else None
+        out.add(place(hashes[k]))
+        runs = [(x, len(list(g))) for x, g in groupby(map(kind, w))]
+        signs.append(zlib.crc32("".join(x + "+" * (n > 1 and x not in "aA0") for x, n in runs).encode()) * 2 + (pair in seen))
+        if k:
+            seen.add(pair)
+            out.add(place((pair + 1) & full))
+    for n in (1, 2, 3):
+        runs = []
+        for k in range(len(signs) - n + 1):
+            run = n
+            for s in signs[k : k + n]:
+                run = (run * step + s) & full
+            runs.append(run)
+        for run, times in Counter(runs).items():
+            out |= {half + place((run * len(nbsvm.SHARES) + k) & full) for k, share in enumerate(nbsvm.SHARES) if times > share * len(runs)}
+    return out
+
+
+def test_scores_of_the_query_are_those_of_plain_sums(spark, odd, tmp_path):
+    docs = odd.unionByName(spark.read.parquet(f"{MIDDLE}/documents.parquet").filter("doc_id >= 100 and doc_id < 260"), allowMissingColumns=True)
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"] or "")
+    learn = sorted((r["doc_id"], r["quality"]) for r in labels.collect() if r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1)
+    rows = sorted((y, np.array(sorted(plain_features(min(texts[d]))), "<i4").tobytes()) for d, y in learn)
+    rows = [(y, np.frombuffer(x, "<i4").astype(np.int64)) for y, x in rows]
+    y = np.array([y for y, _ in rows])
+    assert 0 < y.sum() < len(y)
+    # log-count ratios, scaled indicators and the dual's descent, coordinate by coordinate
+    has = [Counter(f for k, x in rows if k == c for f in x.tolist()) for c in (0, 1)]
+    ratio = lambda f: math.log((has[1][f] + 1) / (sum(y == 1) + 2)) - math.log((has[0][f] + 1) / (sum(y == 0) + 2))
+    half = nbsvm.SPACE // 2
+    parts = lambda x: ([f for f in x if f < half], [f for f in x if f >= half])
+    values = [{f: ratio(f) / len(part) ** 0.5 for part in parts(x.tolist()) for f in part} for _, x in rows]
+    w, bias, alpha, rnd = Counter(), 0.0, [0.0] * len(rows), np.random.default_rng(1)
+    for _ in range(nbsvm.ROUNDS):
+        moved = 0.0
+        for i in rnd.permutation(len(rows)):
+            sign = 1 if y[i] else -1
+            slope = sign * (sum(w[f] * v for f, v in values[i].items()) + bias) - 1
+            cost = nbsvm.COST * len(y) / (2 * sum(y == y[i]))
+            new = min(max(alpha[i] - slope / (sum(v * v for v in values[i].values()) + 1), 0.0), cost)
+            step, alpha[i] = (new - alpha[i]) * sign, new
+            moved = max(moved, abs(step))
+            for f, v in values[i].items():
+                w[f] += step * v
+            bias += step
+        if moved < 1e-4:
+            break
+    got = nbsvm.op4_quality(spark, str(tmp_path)).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        want = [1 / (1 + math.exp(-nbsvm.STEEP * (bias + sum(sum(w[f] * ratio(f) for f in part) / len(part) ** 0.5 for part in parts(plain_features(t)) if part)))) for t in texts[r["doc_id"]]]
+        assert any(math.isclose(r["score"], x, rel_tol=1e-3, abs_tol=1e-4) for x in want) and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_a_repeated_doc_id_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"good text {k}") for k in range(300)] + [(2, "bad !!! text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    one = docs.filter("doc_id = 2 or text = 'good text 0'")
+    a, b = (nbsvm.train(d, labels, "quality", F.lit(True)) for d in (docs, one))
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+
 def test_op4_on_rows_held_out(spark):
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
     got = nbsvm.op4_quality(spark, MIDDLE)
@@ -217,6 +304,18 @@ def test_mix(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 1000])
+def test_no_result_depends_on_the_number_of_buckets(spark, odd, buckets):
+    docs = odd.unionByName(odd.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.col("text"), F.lit(" more"))))
+    assert sorted(map(str, mixing.mix(docs, buckets=buckets).collect())) == sorted(map(str, mixing.mix(docs).collect()))
+
+
+def test_rows_without_an_id_are_spread_over_the_order(spark):
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(docs).collect()
+    assert len({r["position"] for r in got}) == 400
+
+
 def test_positions_follow_the_schedules(spark):
     docs = spark.createDataFrame([(k, "a b c d e", f"s{k % 3}") for k in range(3000)], "doc_id long, text string, source string")
     rows = [r for r in mixing.mix(docs).collect() if r["position"] is not None]
@@ -270,6 +369,67 @@ def test_forward_sums_all_segmentations():
         assert (counts >= 0).all() and counts.sum() <= len(words) * (size + 1) + 1e-9
 
 
+def log_chance(word, known, n):
+    """Logarithm of the sum over all segmentations, by language, in exact steps of one place at a time."""
+    text = langid.MARK + word
+    out = []
+    for k in range(n):
+        total = [Fraction(1)]
+        for j in range(1, len(text) + 1):
+            last = total[j - 1] * Fraction(langid.UNKNOWN)
+            total.append(last + sum(total[i] * Fraction(known[text[i:j]][k]) for i in range(j) if text[i:j] in known))
+        whole = total[-1]
+        out.append(math.log(whole.numerator) - math.log(whole.denominator))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 31, 32, 33, 60, 500])
+def test_words_of_any_length_are_whole(size):
+    rnd = random.Random(size)
+    names = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 4))) for _ in range(9)} | {langid.MARK})
+    chances = np.random.default_rng(2).integers(1, 64, (len(names), 2)) / 64
+    model = langid.fit({}, {"x": 3, "y": 5}, langid.Vocabulary(names))
+    model.chances[:] = chances
+    known = {n: chances[k] for k, n in enumerate(names)}
+    scorer = langid.Scorer(model)
+    words = ["".join(rnd.choice("abcz") for _ in range(size)) for _ in range(3)] + ["z" * size]
+    want = [log_chance(w, known, 2) for w in words]
+    scorer.learn(words)
+    assert np.allclose([scorer.logs[scorer.known[w]] for w in words], want, rtol=1e-9)
+    for w, logs in zip(words, want, strict=True):
+        total = np.array(logs) + np.log([3 / 8, 5 / 8])
+        (lang,), (score,) = scorer.score([w.upper()])
+        assert lang == "xy"[int(total.argmax())] and math.isclose(score, 1 / np.exp(total - total.max()).sum(), rel_tol=1e-6)
+    again = langid.Scorer(model)
+    again.score([" ".join(words)])
+    assert all(len(w) <= langid.LONGEST for w in again.known)
+
+
+def test_expected_counts_of_one_word_are_those_of_many():
+    rnd = random.Random(4)
+    names = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 4))) for _ in range(9)} | {langid.MARK})
+    v, chances = langid.Vocabulary(names), np.random.default_rng(3).random(len(names))
+    for size in (1, 5, 30):
+        words = ["".join(rnd.choice("abcz") for _ in range(size)) for _ in range(6)]
+        many = langid.expected(v.codes(words), np.arange(1.0, 7), v, chances)
+        assert np.allclose(many, sum(langid.expected_of(v.codes([w])[0], n + 1, v, chances) for n, w in enumerate(words)))
+
+
+def test_numbers_are_no_letters(spark):
+    texts = ["½ ²", "①②", "12 ⅷ", "a½b", "ªº", "中文", None, ""]
+    assert langid.words_of("x½y ①z") == ["x", "y", "z"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)] + [(100, "some words", "en")], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), MODEL)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model, ["doc_id"]).collect()}
+    assert [got[k] for k in range(len(texts))] == ["und", "und", "und", "en", "en", "en", "und", "und"]
+
+
+def test_rows_that_repeat_a_doc_id_are_one_of_the_sample(spark):
+    docs = spark.createDataFrame([(7, f"w{chr(97 + k % 26)}", "en") for k in range(500)] + [(8, "zz", "en")], "doc_id long, text string, lang string")
+    one = docs.filter("doc_id = 8 or text = 'wa'").dropDuplicates(["doc_id"])
+    assert np.array_equal(langid.train(docs, F.lit(True), MODEL).chances, langid.train(one, F.lit(True), MODEL).chances)
+
+
 def test_op10_on_rows_held_out(spark):
     got = langid.op10_language_id(spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
