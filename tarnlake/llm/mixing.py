@@ -5,13 +5,15 @@ tokens are used up to any time. The documents of a source stand in a fixed shuff
 running sum of sizes is the demand at which its turn comes, and inverting the integral gives its position. Documents
 are then range-sorted by position. A source whose target exceeds its size begins its documents again.
 
-The shuffled order is by MD5 of the doc_id, so that reruns agree. Running sums are taken within (source, bucket of the
-order), so that a source with a third of all rows is spread over as many tasks as there are buckets; buckets' totals
-are summed before the shuffle.
+The shuffled order is by MD5 of the doc_id and the text's MD5, so that reruns agree, and rows that share a doc_id or have
+none are spread as well. Running sums are taken within (source, bucket), where a bucket is a range of the order; there is
+one for each ROWS_OF_BUCKET rows, so that a source with a third of all rows is spread over many tasks, at any size, and no
+result depends on their number. Buckets' totals are summed before the shuffle.
 
 Defined cases: a null text has size 0, is taken 0 times and has no position; a null source is a source of its own, the
-last; a null doc_id is ordered as an empty one; rows with equal doc_id are ordered by size. If all sizes are 0, all
-targets are 0. An empty table gives an empty table. Extra columns are ignored by `mix` and kept by `mixed_documents`.
+last; a null doc_id is ordered as an empty one. Texts of any length are counted whole. Rows alike in doc_id and text stand
+side by side. If all sizes are 0, all targets are 0. An empty table gives an empty table. Extra columns are ignored by
+`mix` and kept by `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .common import WORD, cut, table, text_of, unused
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Parts of the shuffled order within which sums run.
-BUCKETS = 1024
+#: Rows of a part of the shuffled order within which sums run.
+ROWS_OF_BUCKET = 50_000
 #: Weight at knots in time, linear in between, repeating like WEIGHTS; only the shape matters. Early, even and late use.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -85,19 +87,23 @@ def mix(
     share: float = SHARE,
     most: int = MOST,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row for each document, in the order of position: doc_id, source, size, source_size, target, taken, position,
     again.
 
     taken: words that the mix takes; a source's sum is its target rounded to a whole number. position: training time
-    (0 to 1) of the document's first copy, null if none is taken; again: that of the second.
+    (0 to 1) of the document's first copy, null if none is taken; again: that of the second. buckets: their number, if
+    not by ROWS_OF_BUCKET.
     """
     if most > 2:
         raise ValueError("a document has two positions at most")
-    turn = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
-    bucket = F.conv(F.substring(turn, 1, 7), 16, 10).cast("long") % F.lit(buckets)
-    rows = cut(docs.select(docs["doc_id"], docs["source"], n_words(docs).alias("size"), turn.alias("turn"), bucket.alias("bucket")))
+    own = F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit("|"), F.md5(text_of(docs)))
+    rows = cut(docs.select(docs["doc_id"], docs["source"], n_words(docs).alias("size"), F.md5(own).alias("turn")))
+    if buckets is None:
+        buckets = 1 + rows.count() // ROWS_OF_BUCKET
+    place = F.conv(F.substring("turn", 1, 7), 16, 10).cast("long")  # 28 bits, in the order of turns
+    rows = rows.withColumn("bucket", F.shiftright(place * F.lit(buckets), 28))
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     named = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, most)
     until = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -150,15 +156,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", "again")
 
 
 OP5_SQL = r"""
-with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(doc_id::varchar) as turn
+with p as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         md5(coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))) as turn
   from documents
-), p as (
-  select *, ('0x' || substr(turn, 1, 7))::bigint % 1024 as bucket from d
 ), s as (
   select *, [3.0::double, 1.0::double, 2.0::double][nth % 3 + 1] as weight from (
     select source, source_size, row_number() over (order by source nulls last) - 1 as nth
@@ -169,15 +174,27 @@ with d as (
             / sum(weight) over (order by 2.0::double * source_size / weight, nth rows between current row and unbounded following) as level
   from s
 ), t as (
-  select source, source_size, least(2.0::double * source_size,
+  select source, source_size, nth, least(2.0::double * source_size,
            weight * coalesce(max(case when 2.0::double * source_size >= level * weight then level end) over (), 0)) as target
   from l
 ), r as (
-  select p.doc_id, p.size, t.source_size, t.target, round(t.target)::bigint as goal,
-         sum(p.size) over (partition by p.source order by p.bucket, p.turn, p.size rows unbounded preceding) - p.size as start
+  select p.doc_id, p.size, t.source_size, t.target, round(t.target)::bigint as goal, t.nth % 3 as kind,
+         sum(p.size) over (partition by p.source order by p.turn, p.size rows unbounded preceding) - p.size as start
   from p join t on p.source is not distinct from t.source
+), c as (
+  select *, greatest(0, least(goal - start, size)) as once, greatest(0, least(goal - source_size - start, size)) as twice from r
+), d as (  -- demand: the share of the source's target used before each copy
+  select *, case when once > 0 then start::double / target end as demand, case when twice > 0 then (start + source_size)::double / target end as more from c
 )
-select doc_id, size::bigint as size, source_size, target,
-       (greatest(0, least(goal - start, size)) + greatest(0, least(goal - source_size - start, size)))::bigint as taken
-from r
+-- weights fall from 1.5 to 0.5, stay at 1, or rise from 0.5 to 1.5 over the training; the time at which their integral reaches the demand
+select doc_id, size::bigint as size, source_size, target, (once + twice)::bigint as taken,
+       case when demand is null then null else least(1.0::double, greatest(0.0::double, case kind
+         when 0 then (sqrt(greatest(0.0::double, 2.25::double + -2.0::double * demand)) - 1.5::double) / -1.0::double
+         when 1 then demand
+         else sqrt(greatest(0.0::double, 0.25::double + 2.0::double * demand)) - 0.5::double end)) end as position,
+       case when more is null then null else least(1.0::double, greatest(0.0::double, case kind
+         when 0 then (sqrt(greatest(0.0::double, 2.25::double + -2.0::double * more)) - 1.5::double) / -1.0::double
+         when 1 then more
+         else sqrt(greatest(0.0::double, 0.25::double + 2.0::double * more)) - 0.5::double end)) end as again
+from d
 """
