@@ -5,12 +5,14 @@ marked by whether the pair it ends has occurred in the text before; shape n-gram
 shares of the text that they reach. Indicators are scaled by the logarithm of the ratio of their smoothed shares in the
 two classes, and a linear model with hinge loss is fitted by dual coordinate descent.
 
-The fit sees a bounded sample: the first SAMPLE labelled rows that may be learned from, in the order of a hash of the
-doc_id. The score is the logistic function of the margin, so that 0.5 is the plane itself.
+The fit sees a bounded sample: the first SAMPLE pairs of doc_id and label that may be learned from, in the order of a hash
+of the doc_id, each with one text (of rows that repeat the doc_id the least). The score is the logistic function of the
+margin, so that 0.5 is the plane itself.
 
 Defined cases: a null text counts as empty; an empty text has no n-grams and the score of the bias. Where one class has
 no rows to learn from the score is 1 or 0, as the other class is; where none has, 0.5. Rows whose doc_id is null are not
-learned from. Repeated rows each give a row, an empty table an empty table; columns named in `keep` pass through.
+learned from. Texts and words of any length are read whole, one text at a time. Repeated rows each give a row, an empty
+table an empty table; columns named in `keep` pass through.
 """
 
 from __future__ import annotations
@@ -176,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, sample: int = S
 
     may = labels.filter(learn & labels["doc_id"].isNotNull() & labels[label].isin(0, 1)).select(labels["doc_id"], labels[label].cast("int").alias("y"))
     chosen = may.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    texts = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    texts = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
