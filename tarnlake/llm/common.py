@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; everything else is part of a word.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: What is broadcast because its size was checked is no larger.
+BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,22 +28,42 @@ def text_of(docs: DataFrame, name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session names none, as in tests."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where the session names none, a local master gets a folder of its own, as in tests; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tarnlake-checkpoint-"))
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tarnlake-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so that a lost executor costs only its running tasks."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
+def small(frame: DataFrame, width: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialised `frame` of rows of about `width` bytes, marked for a broadcast if all of it takes `most` bytes or
+    less; else as it is, for an ordinary join."""
+    return F.broadcast(frame) if frame.count() * width <= most else frame
+
+
 _HELD: dict[str, Callable[[], object]] = {}
 
 

@@ -8,6 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tests_data import MIDDLE
 from pyspark.sql import functions as F
 
@@ -72,9 +75,18 @@ def canonical(text):
     return " ".join(form(form(text).casefold()).split())
 
 
-def test_fingerprints(spark, odd, none):
-    docs = sorted(rows_of(odd), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    got = fingerprint.followed(odd, ranges=4).withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text"))).collect()
+def order_of(text):
+    return np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64)
+
+
+def going_down(frame):
+    return sorted(rows_of(frame), key=lambda r: (r[0] is None, -(r[0] or 0), order_of(r[1])))
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_fingerprints(spark, odd, none, size):
+    docs = going_down(odd)
+    got = fingerprint.followed(odd, size).withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text"))).collect()
     want = []
     for k, (d, t) in enumerate(docs):
         following = docs[(k + 1) % len(docs)][1]
@@ -83,24 +95,69 @@ def test_fingerprints(spark, odd, none):
     assert sorted(((r["doc_id"], r["text"], r["next_text"], r["edited"]) for r in got), key=repr) == sorted(want, key=repr)
     prints = {}
     for r in got:
-        if "\x00" not in r["text"]:
-            assert prints.setdefault(canonical(r["text"]), r["fingerprint"]) == r["fingerprint"]
+        assert prints.setdefault(canonical(r["text"]), r["fingerprint"]) == r["fingerprint"]
     assert len(set(prints.values())) == len(prints)
-    assert fingerprint.followed(none).count() == 0 and fingerprint.groups(none).count() == 0
+    assert fingerprint.followed(none).count() == 0
     one = odd.filter("doc_id = 3")
     assert [r["next_text"] for r in fingerprint.followed(one).collect()] == ["one"]
 
 
-def test_groups_compare_bytes_within_a_bucket(spark, odd, monkeypatch):
-    monkeypatch.setattr(fingerprint, "wide_hash", lambda text: F.lit("0" * 32))  # everything collides
-    (one,) = fingerprint.groups(odd).collect()
-    assert one["forms"] == len({canonical(t) for _, t in rows_of(odd)}) and one["class_size"] == odd.count()
+@pytest.mark.parametrize("size", [10, 100])
+def test_frequent_and_missing_ids_are_divided(spark, size):
+    hot = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id"))
+    docs = spark.range(900).select(hot.cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 850).alias("text")).cache()
+    down = going_down(docs)
+    want = Counter((d, t, down[(k + 1) % len(down)][1]) for k, (d, t) in enumerate(down))
+    assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in fingerprint.followed(docs, size).collect()) == want
+    slim = docs.select("doc_id", fingerprint.turn(F.col("text")).alias("turn"))
+    held = [r["count"] for r in fingerprint.Ranges(docs.select("doc_id"), size).of(slim).groupBy("at", "within").count().collect()]
+    assert sum(held) == 900 and max(held) <= 3 * size + 20
+
+
+@given(st.lists(st.integers(-50, 50), max_size=40), st.lists(st.integers(-60, 60), min_size=1, max_size=5))
+@settings(max_examples=8, deadline=None)
+def test_binary_search(spark, values, wanted):
+    values = sorted(set(values))
+    frame = spark.createDataFrame([(values, x) for x in wanted], "v array<long>, x long")
+    got = frame.select("x", fingerprint.reached(F.col("v"), F.col("x"), max(1, len(values))).alias("n")).collect()
+    assert all(r["n"] == sum(v < r["x"] for v in values) for r in got)
+
+
+def written(frame, folder):
+    frame.write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_colliding_texts_are_classes_of_their_own(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(fingerprint, "wide_hash", lambda text: F.when(F.length(text) > 3, F.lit("0" * 32)).otherwise(F.lit("1" * 32)))
+    got = fingerprint.op6_fingerprints(spark, written(odd, tmp_path)).collect()
+    forms = defaultdict(list)
+    for d, t in rows_of(odd):
+        forms[canonical(t)].append(d)
+    prints = Counter(len(f) > 3 for f in forms)
+    want = Counter((d, min((x for x in ids if x is not None), default=None), len(ids), prints[len(f) > 3]) for f, ids in forms.items() for d in ids)
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"], r["forms"]) for r in got) == want
+
+
+def test_op6(spark, odd, tmp_path):
+    got = fingerprint.op6_fingerprints(spark, written(odd, tmp_path)).collect()
+    docs = going_down(odd)
+    forms, want = defaultdict(list), Counter()
+    for d, t in docs:
+        forms[canonical(t)].append(d)
+    for k, (d, t) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        n = len(t) // 3
+        changed = t[: len(t) - n] + following[:n]
+        same = forms[canonical(t)]
+        near = [float(canonical(t) == canonical(x)) for x in (changed, following)]
+        want[(d, len(t), hashlib.sha256(changed.encode()).hexdigest(), *near, min((x for x in same if x is not None), default=None), len(same), 1)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"], r["class_id"], r["class_size"], r["forms"]) for r in got) == want
 
 
 def test_op6_likeness(spark, tmp_path):
     frame = spark.createDataFrame([(1, "Straße  X"), (2, "STRASSE x"), (3, "ab")], "doc_id long, text string")
-    frame.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r for r in fingerprint.op6_fingerprints(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r for r in fingerprint.op6_fingerprints(spark, written(frame, tmp_path)).collect()}
     assert got[2]["near_next"] == 1.0 and got[1]["near_next"] == 0.0 and got[3]["near_edited"] == 1.0
     assert got[1]["class_id"] == got[2]["class_id"] == 1 and got[2]["class_size"] == 2 and got[3]["class_size"] == 1
 
