@@ -42,10 +42,49 @@ class Node:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.rest)} if self.rest else {}
 
 
+#: By the name of an opening tag: the open elements that it ends, and those that protect them.
+_ENDED_BY = {name: [x for x in ENDS if name in ENDS[x]] for name in frozenset().union(*ENDS.values())}
+_GUARDS = {name: frozenset().union(*(SCOPES[x] for x in ended)) for name, ended in _ENDED_BY.items()}
+#: Closing tags that go through what HOLDS.
+_THROUGH = HOLDS | frozenset("tr tbody thead tfoot ul ol div form".split())
+
+
+class _Open:
+    """The open elements, innermost last, and where those of each name stand; each tag costs a fixed number of steps."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((at[-1] for x in names if (at := self.places.get(x))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.places[node.name].pop()
+        del self.stack[at:]
+
+    def before(self, name: str) -> None:
+        """End what an opening tag ends."""
+        if ended := _ENDED_BY.get(name):
+            while (at := self.last(ended)) and at >= self.last(_GUARDS[name]):
+                self.cut(at)
+
+    def close(self, name: str) -> None:
+        at = self.last((name,))
+        if at and (name in _THROUGH or at > self.last(HOLDS)):
+            self.cut(at)
+
+
 def parse(html: str) -> Node:
-    """The root, named '', over all elements of the page."""
+    """The root, named '', over all elements of the page. Time grows with the length of the page, however deep it nests."""
     root = Node("")
-    stack = [root]
+    tree = _Open(root)
+    stack = tree.stack
     at, size = 0, len(html)
     while at < size:
         start = html.find("<", at)
@@ -68,40 +107,17 @@ def parse(html: str) -> Node:
             continue
         name = found["name"].lower()
         if found["close"]:
-            _close(stack, name)
+            tree.close(name)
             continue
-        _end_open(stack, name)
+        tree.before(name)
         node = Node(name, found["rest"].strip())
         stack[-1].children.append(node)
-        if name in VOID or found["rest"].endswith("/") and name not in RAW and ("svg" in (n.name for n in stack) or "math" in (n.name for n in stack)):
+        if name in VOID or found["rest"].endswith("/") and name not in RAW and (tree.last(("svg", "math"))):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             node.children.append(html[at : end.start() if end else size])
             at = end.end() if end else size
             continue
-        stack.append(node)
+        tree.push(node)
     return root
-
-
-def _end_open(stack: list[Node], name: str) -> None:
-    again = True
-    while again:
-        again = False
-        for k in range(len(stack) - 1, 0, -1):
-            open_ = stack[k].name
-            if name in ENDS.get(open_, ()):
-                del stack[k:]
-                again = True
-                break
-            if any(open_ in SCOPES[x] for x in ENDS if name in ENDS[x]):
-                break
-
-
-def _close(stack: list[Node], name: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == name:
-            del stack[k:]
-            return
-        if stack[k].name in HOLDS and name not in HOLDS and name not in ("tr", "tbody", "thead", "tfoot", "ul", "ol", "div", "form"):
-            return
