@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake import catalogue
-from tarnlake.session import EngineSession
-from tarnlake.sources.report import write_report
+from tarnlake.cluster import distributed_query
+from tarnlake.session import EngineSession, LocalScheduler
+from tarnlake.sources.report import write_modes, write_report
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -57,6 +58,27 @@ def seconds(make) -> float:
     return round(median(took[1:]), 4)
 
 
+def modes(session: EngineSession) -> dict[str, dict[str, float]]:
+    """The generated queries in four ways: to rows in the driver, in one task at a time, in parallel, and in a fixed order."""
+    one = EngineSession(session.spark, scheduler=LocalScheduler(1))
+    one.tables = session.tables
+
+    def rows(sql: str) -> float:
+        began = time.perf_counter()
+        session.rows(sql)
+        return time.perf_counter() - began
+
+    return {
+        name: {
+            "rows": round(median(rows(sql) for _ in range(SAMPLES)), 4),
+            "sequential": seconds(lambda sql=sql: one.sql(sql)),
+            "parallel": seconds(lambda sql=sql: session.sql(sql)),
+            "distributed": seconds(lambda sql=sql: distributed_query(session, sql)),
+        }
+        for name, sql in GENERATED.items()
+    }
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
@@ -77,10 +99,12 @@ def main() -> None:
         if PEOPLE == 500_000:
             assert session.sql(sql).count() == ROWS[name], name
         times[f"people_{name}"] = seconds(lambda sql=sql: session.sql(sql))
+    if out := os.environ.get("BENCH_OUT"):
+        write_modes(modes(session), out, f"Modes, {PEOPLE} people, {CPUS} cores")
     for name, query in catalogue.QUERIES.items():
         times[name] = seconds(lambda query=query: query(spark, SF_DIR))
     spark.stop()
-    if out := os.environ.get("BENCH_OUT"):
+    if out:
         write_report(times, out, f"{len(times)} queries, {CPUS} cores, {os.path.basename(SF_DIR)}")
     print(json.dumps({"metric": "total seconds of all queries, median of samples", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .cluster import Shards, distributed_count, distributed_join
+from .cluster import Shards, distributed_count, distributed_join, distributed_query
 from .operators import exchange
+from .plans.logical import Join, Projection, Scan
 from .plans.syntax import BinaryExpression, Identifier, Literal, Query, SelectItem, TableRef
 from .session import EngineSession
 from .sources import files
@@ -27,7 +27,6 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "filter_and_or": ("select l_orderkey from lineitem where l_quantity >= 45 and l_returnflag = 'R' or l_linenumber = 1", None),
     "filter_const_fold": ("select n_name from nation where 1 = 1 and 2 = 2", None),
     "filter_const_false": ("select n_name from nation where 1 = 2", None),
-    "join_hash": ("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey", None),
     "join_broadcast": ("select c_name, n_name from customer join nation on c_nationkey = n_nationkey", None),
     "join_sort_merge": ("select o_orderkey, l_linenumber from orders join lineitem on o_orderkey = l_orderkey", None),
     "join_theta": ("select s_suppkey, n_nationkey from supplier join nation on s_suppkey < n_nationkey", None),
@@ -75,7 +74,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     ),
 }
 #: Queries whose join strategy comes from statistics.
-ANALYZED = {"join_broadcast": ("customer", "nation"), "join_hash": ("orders", "customer"), "join_sort_merge": ("orders", "lineitem")}
+ANALYZED = {"join_broadcast": ("customer", "nation"), "join_sort_merge": ("orders", "lineitem")}
 
 
 def session(spark: SparkSession, sf_dir: str) -> EngineSession:
@@ -114,6 +113,23 @@ def filter_ne(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir).sql(Query((SelectItem(Identifier("o_orderkey")),), TableRef("orders"), where=differs))
 
 
+def join_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strategy that the plan itself demands."""
+    keys = BinaryExpression(Identifier("o_custkey"), "=", Identifier("c_custkey"))
+    joined = Join(Scan("orders"), Scan("customer"), keys, "hash", forced=True)
+    return session(spark, sf_dir).execute(Projection(joined, tuple(SelectItem(Identifier(n)) for n in ("o_orderkey", "c_name"))))
+
+
+def dist_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole query with join, filter and columns, in a fixed order."""
+    return distributed_query(session(spark, sf_dir), "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey where c_acctbal >= 5000")
+
+
+def agg_bare_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are no keys, without a column that orders rows."""
+    return session(spark, sf_dir).sql("select p_brand, p_size, p_retailprice, count(*) from part group by p_brand")
+
+
 def agg_first_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir).sql("select o_custkey, o_totalprice, count(*) from orders group by o_custkey", first_by="o_orderkey")
 
@@ -132,8 +148,7 @@ def shuffle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnlake-")
-    path = f"{folder}/partitions-{uuid.uuid4().hex}"
+    path = f"{exchange.shared_folder(spark)}/partitions-{uuid.uuid4().hex}"
     exchange.checkpoint(exchange.partition(files.parquet(spark, sf_dir, "customer"), "c_nationkey", 8), path)
     return exchange.materialize(exchange.restore(spark, path))
 
@@ -148,7 +163,10 @@ def shard_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _text(name) for name in TEXTS} | {
     "filter_ne": filter_ne,
+    "join_hash": join_hash,
     "agg_first_value": agg_first_value,
+    "agg_bare_column": agg_bare_column,
+    "dist_query": dist_query,
     "dist_count": dist_count,
     "dist_join": dist_join,
     "shuffle_roundtrip": shuffle_roundtrip,
@@ -158,6 +176,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _text(name
 
 SQL: dict[str, str] = {name: oracle or text for name, (text, oracle) in TEXTS.items()} | {
     "filter_ne": "select o_orderkey from orders where o_orderstatus <> 'F'",
+    "join_hash": "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey",
+    "agg_bare_column": "select p_brand, least.a as p_size, least.b as p_retailprice, count from (select p_brand, min({'a': p_size, 'b': p_retailprice}) as least, count(*) as count from part group by p_brand)",
+    "dist_query": "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey where c_acctbal >= 5000 order by c_custkey, n_name",
     "agg_first_value": "select o_custkey, min_by(o_totalprice, o_orderkey) as o_totalprice, count(*) as count from orders group by o_custkey",
     "dist_count": "select o_orderstatus, count(*) as count from orders group by o_orderstatus",
     "dist_join": "select c_name, n_name from customer join nation on c_nationkey = n_nationkey",

@@ -55,6 +55,6 @@ class Shards:
 
     def query(self, query: str | Query) -> DataFrame:
         """One global query over all shards."""
-        whole = EngineSession(self.session.spark, self.session.stats)
+        whole = EngineSession(self.session.spark, self.session.stats, self.session.scheduler)
         whole.tables = self.session.tables | {name: self.table(name) for name in self._shards}
         return whole.sql(query)

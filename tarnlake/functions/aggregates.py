@@ -15,9 +15,11 @@ def count(value: Column | None, type_: T.DataType | None) -> Column:
 
 
 def total(value: Column | None, type_: T.DataType | None) -> Column:
-    """Sum from 0."""
-    if value is None or not isinstance(type_, T.NumericType | T.NullType):
+    """Sum from 0; true counts as 1."""
+    if value is None or not isinstance(type_, T.NumericType | T.NullType | T.BooleanType):
         raise TypeError("sum takes a number")
+    if isinstance(type_, T.BooleanType):
+        value = value.cast("long")
     return F.coalesce(F.sum(value), F.lit(0))
 
 

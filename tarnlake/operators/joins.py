@@ -21,10 +21,13 @@ def estimated_bytes(frame: DataFrame) -> int:
     return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def hinted(left: DataFrame, right: DataFrame, strategy: str | None) -> tuple[DataFrame, DataFrame]:
-    """Both sides, the smaller one with the strategy's hint. Without a strategy, or for a broadcast of a side that is not
-    known to be small, Spark's adaptive execution decides."""
-    if strategy is None:
+def hinted(left: DataFrame, right: DataFrame, strategy: str | None, forced: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both sides, the smaller one with the strategy's hint.
+
+    Only a broadcast of a side that is known to be small is hinted, unless a strategy is forced: Spark's adaptive execution
+    may still turn a sort and merge into a broadcast once it has seen the sides, which a hint would forbid.
+    """
+    if strategy is None or strategy != "broadcast" and not forced:
         return left, right
     sizes = estimated_bytes(left), estimated_bytes(right)
     if strategy == "broadcast" and min(sizes) > BROADCAST_BYTES:
@@ -39,7 +42,7 @@ def merged(joined: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     return joined.select(*(joined[quoted(_PRIVATE + n if n in right else n)].alias(n) for n in [*left, *new]))
 
 
-def join(left: DataFrame, right: DataFrame, on: Expression, strategy: str | None = None) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, on: Expression, strategy: str | None = None, forced: bool = False) -> DataFrame:
     """Rows of both sides for which the condition holds. Null keys are equal.
 
     The condition is over columns of the two sides, so that Catalyst finds its equalities. The right side's columns have
@@ -56,7 +59,7 @@ def join(left: DataFrame, right: DataFrame, on: Expression, strategy: str | None
             test = condition(on, _Sides(left, private, names, others))
             if not _has_equality(on):
                 strategy = strategy if strategy == "broadcast" else None  # the others need keys
-    one, two = hinted(left, private, strategy)
+    one, two = hinted(left, private, strategy, forced)
     return merged(one.join(two, test), names, others)
 
 

@@ -45,9 +45,12 @@ def aggregate(frame: DataFrame, group_by: Sequence[Expression], items: Sequence[
     """Group columns, then the select list.
 
     A column of the list that is no group column has the value of the group's first row: the one with the least
-    `first_by`, a column of the input; without `first_by`, whichever row Spark reads first. No rows give no group, even
-    without GROUP BY.
+    `first_by`, a column of the input. Without `first_by` it is the row that is least in these columns themselves, compared
+    from left to right, nulls first; so the result does not depend on the order in which Spark reads. No rows give no group,
+    even without GROUP BY.
     """
+    bare = [i.expression.name for i in items if isinstance(i.expression, Identifier)]
+    least = F.min(F.struct(*(column(frame, n).alias(f"_{k}") for k, n in enumerate(bare)))) if bare and first_by is None else None
     keys: list[tuple[str, Column]] = []
     for e in group_by:
         if not isinstance(e, Identifier | Literal | BinaryExpression):
@@ -65,7 +68,7 @@ def aggregate(frame: DataFrame, group_by: Sequence[Expression], items: Sequence[
                 else:
                     out = call(name, value(argument, frame), type_of(argument, frame))
             case Identifier(name):
-                out = F.first(column(frame, name)) if first_by is None else F.min_by(column(frame, name), column(frame, first_by))
+                out = F.min_by(column(frame, name), column(frame, first_by)) if least is None else least[f"_{bare.index(name)}"]
             case Literal(v):
                 out = F.first(F.lit(v))
             case e:

@@ -1,4 +1,4 @@
-"""Syntax tree of the dialect."""
+"""Syntax tree of the dialect. The names of the nodes and of their fields."""
 
 from __future__ import annotations
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,15 +17,33 @@ from .sources import files
 from .sources.memory import from_rows, to_rows
 
 
+@dataclass(frozen=True)
+class LocalScheduler:
+    """How many tasks may make a result at a time, and rows of a batch of it. Less than 1 counts as 1."""
+
+    workers: int = 1
+    batch_size: int = 4096
+
+    def __post_init__(self):
+        object.__setattr__(self, "workers", max(1, self.workers))
+        object.__setattr__(self, "batch_size", max(1, self.batch_size))
+
+    def bound(self, frame: DataFrame) -> DataFrame:
+        """The same rows in at most so many partitions."""
+        return frame.coalesce(self.workers)
+
+
 class EngineSession:
     """Tables and statistics of one user; several may share a SparkSession.
 
     Queries are built as DataFrames and left to Catalyst and adaptive execution. Nothing runs until the result is used.
+    A scheduler bounds the tasks that make a result; without one, all that Spark has are used.
     """
 
-    def __init__(self, spark: SparkSession, stats: StatsCatalog | None = None):
+    def __init__(self, spark: SparkSession, stats: StatsCatalog | None = None, scheduler: LocalScheduler | None = None):
         self.spark = spark
         self.stats = stats or StatsCatalog()
+        self.scheduler = scheduler
         self.tables: dict[str, DataFrame] = {}
 
     # tables
@@ -67,7 +86,21 @@ class EngineSession:
 
     def execute(self, plan: Plan, first_by: str | None = None) -> DataFrame:
         with exact_names(self.spark):
-            return lower(plan, self.tables, first_by)
+            out = lower(plan, self.tables, first_by)
+        return self.scheduler.bound(out) if self.scheduler else out
+
+    @property
+    def workers(self) -> int:
+        return self.scheduler.workers if self.scheduler else self.spark.sparkContext.defaultParallelism
+
+    @property
+    def execution_mode(self) -> str:
+        return "parallel" if self.workers > 1 else "sequential"
+
+    def execution_summary(self, query: str | Query | Plan) -> str:
+        """Mode, workers, and the kind of the plan's root."""
+        plan = query if isinstance(query, Plan) else self.plan(query)
+        return f"mode={self.execution_mode} workers={self.workers} plan={type(plan).__name__}"
 
     def rows(self, query: str | Query, first_by: str | None = None) -> list[dict[str, object]]:
         return to_rows(self.sql(query, first_by))
@@ -81,3 +114,16 @@ class EngineSession:
             frame = self.execute(plan)
             out += "\n" + frame._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return out
+
+
+class RowExecutor:
+    """Plans to rows as dicts."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def execute(self, plan: Plan, tables: Mapping[str, DataFrame | Sequence[Mapping[str, object]]]) -> list[dict[str, object]]:
+        session = EngineSession(self.spark)
+        for name, table in tables.items():
+            session.register(name, table)
+        return to_rows(session.execute(plan))

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("PYTHONPATH", sys.path[0])
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tests_data import CITIES, PEOPLE  # noqa: E402
+from tests_data import PORTS, CREW  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -36,6 +36,6 @@ def session(spark):
     from tarnlake.session import EngineSession
 
     out = EngineSession(spark)
-    out.register("people", PEOPLE)
-    out.register("cities", CITIES)
+    out.register("crew", CREW)
+    out.register("ports", PORTS)
     return out

@@ -2,42 +2,44 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tests_data import CITIES, MIDDLE, PEOPLE
+from tests_data import PORTS, MIDDLE, CREW
 
 from tarnlake import catalogue
 from tarnlake.cluster import Shards, distributed_count, distributed_join, distributed_query
 from tarnlake.operators import exchange
 from tarnlake.operators.statistics import collect_stats
-from tarnlake.plans.syntax import BinaryExpression, Identifier, Literal, Query, SelectItem, TableRef
-from tarnlake.session import EngineSession
+from tarnlake.plans.dialect import Parser
+from tarnlake.plans.logical import Join, LogicalPlanner, Projection, Scan
+from tarnlake.plans.syntax import BinaryExpression, Identifier, Literal, Query, SelectItem, Star, TableRef
+from tarnlake.session import EngineSession, LocalScheduler, RowExecutor
 from tarnlake.sources.memory import batches, from_rows, project, to_rows
-from tarnlake.sources.report import write_report
+from tarnlake.sources.report import write_modes, write_report
 
 NAMES = lambda rows: [r["name"] for r in rows]
 
 
 def test_projection_and_filter(session):
-    assert session.rows("select name from people where age = 12") == [{"name": "bob"}]
-    assert session.rows("select name, city from people where age >= 12 and city = 'vancouver'") == [{"name": "bob", "city": "vancouver"}]
-    assert NAMES(session.rows("select * from people where age < 12 or age > 12 and city = 'seattle' order by age")) == ["alice", "carol"]
-    assert session.rows("select 7, 'x', name, name from people where 12 = age") == [{"literal": "x", "name": "bob"}]
+    assert session.rows("select name from crew where years = 9") == [{"name": "otto"}]
+    assert session.rows("select name, port from crew where years >= 9 and port = 'lagos'") == [{"name": "otto", "port": "lagos"}]
+    assert NAMES(session.rows("select * from crew where years < 9 or years > 9 and port = 'gdansk' order by years")) == ["ines", "ruth"]
+    assert session.rows("select 7, 'x', name, name from crew where 9 = years") == [{"literal": "x", "name": "otto"}]
 
 
 def test_join_keys_are_positional_and_the_right_value_counts(session):
-    rows = session.rows("select name, id, city_name from people join cities on city_id = id where age >= 12 order by name")
-    assert rows == [{"name": "bob", "id": 200, "city_name": "vancouver"}, {"name": "carol", "id": 100, "city_name": "seattle"}]
+    rows = session.rows("select name, id, port_name from crew join ports on port_id = id where years >= 9 order by name")
+    assert rows == [{"name": "otto", "id": 8, "port_name": "lagos"}, {"name": "ruth", "id": 7, "port_name": "gdansk"}]
     with pytest.raises(KeyError):
-        session.sql("select name from people join cities on id = city_id")
-    assert session.sql("select * from people join cities on city_id = id").columns == ["id", "name", "age", "city_id", "city", "city_name"]
+        session.sql("select name from crew join ports on id = port_id")
+    assert session.sql("select * from crew join ports on port_id = id").columns == ["id", "name", "years", "port_id", "port", "port_name"]
 
 
 def test_self_join_theta_and_literal_conditions(session):
-    assert session.sql("select * from people join people on id = id").count() == 3
-    assert session.sql("select name from people join cities on age < 13 and city_id = id").count() == 2
-    assert session.sql("select name from people join cities on id = city_id and age >= 12").count() == 2
-    assert session.sql("select name from people join cities on 1 = 1").count() == 6
-    assert session.sql("select name from people join cities on 1 = 2").count() == 0
-    assert session.sql("select name from people join cities on age").count() == 6
+    assert session.sql("select * from crew join crew on id = id").count() == 3
+    assert session.sql("select name from crew join ports on years < 10 and port_id = id").count() == 2
+    assert session.sql("select name from crew join ports on id = port_id and years >= 9").count() == 2
+    assert session.sql("select name from crew join ports on 1 = 1").count() == 6
+    assert session.sql("select name from crew join ports on 1 = 2").count() == 0
+    assert session.sql("select name from crew join ports on years").count() == 6
 
 
 def test_nulls_are_equal(session):
@@ -52,44 +54,44 @@ def test_nulls_are_equal(session):
 
 
 def test_aggregates(session):
-    assert session.rows("select city, count(*) from people group by city order by city") == [{"city": "seattle", "count": 2}, {"city": "vancouver", "count": 1}]
-    assert session.rows("select SUM(age), min(age), MAX(name) from people") == [{"sum": 37, "min": 10, "max": "carol"}]
-    assert session.rows("select count(*) from people where age > 99") == []
-    assert session.rows("select count(*) from people group by city order by count desc") == [{"city": "seattle", "count": 2}, {"city": "vancouver", "count": 1}]
-    assert session.rows("select count(*), name from people group by city order by city", first_by="age") == [{"city": "seattle", "count": 2, "name": "alice"}, {"city": "vancouver", "count": 1, "name": "bob"}]
-    assert session.rows("select count(*) from people group by 1") == [{"expr": 1, "count": 3}]
-    assert session.sql("select city from people group by city").count() == 2
-    for bad in ("select avg(age) from people", "select sum(name) from people", "select count(age, id) from people"):
+    assert session.rows("select port, count(*) from crew group by port order by port") == [{"port": "gdansk", "count": 2}, {"port": "lagos", "count": 1}]
+    assert session.rows("select SUM(years), min(years), MAX(name) from crew") == [{"sum": 34, "min": 4, "max": "ruth"}]
+    assert session.rows("select count(*) from crew where years > 99") == []
+    assert session.rows("select count(*) from crew group by port order by count desc") == [{"port": "gdansk", "count": 2}, {"port": "lagos", "count": 1}]
+    assert session.rows("select count(*), name from crew group by port order by port", first_by="years") == [{"port": "gdansk", "count": 2, "name": "ines"}, {"port": "lagos", "count": 1, "name": "otto"}]
+    assert session.rows("select count(*) from crew group by 1") == [{"expr": 1, "count": 3}]
+    assert session.sql("select port from crew group by port").count() == 2
+    for bad in ("select avg(years) from crew", "select sum(name) from crew", "select count(years, id) from crew"):
         with pytest.raises((ValueError, TypeError)):
             session.sql(bad)
 
 
 def test_sort(session):
-    assert NAMES(session.rows("select name from people order by name desc")) == ["carol", "bob", "alice"]
-    assert NAMES(session.rows("select name from people order by age desc")) == ["carol", "bob", "alice"]
-    assert NAMES(session.rows("select name, city from people order by city desc, name desc")) == ["bob", "carol", "alice"]
-    assert session.sql("select name from people order by 1").count() == 3
+    assert NAMES(session.rows("select name from crew order by name desc")) == ["ruth", "otto", "ines"]
+    assert NAMES(session.rows("select name from crew order by years desc")) == ["ruth", "otto", "ines"]
+    assert NAMES(session.rows("select name, port from crew order by port desc, name desc")) == ["otto", "ruth", "ines"]
+    assert session.sql("select name from crew order by 1").count() == 3
     with pytest.raises(KeyError):
-        session.sql("select name from people order by nothing")
+        session.sql("select name from crew order by nothing")
 
 
 def test_ctes(session):
-    assert NAMES(session.rows("with older as (select name, city from people where age >= 12) select name from older order by name")) == ["bob", "carol"]
-    assert session.rows("with people as (select name from people where age = 12) select * from people") == [{"name": "bob"}]
+    assert NAMES(session.rows("with older as (select name, port from crew where years >= 9) select name from older order by name")) == ["otto", "ruth"]
+    assert session.rows("with crew as (select name from crew where years = 9) select * from crew") == [{"name": "otto"}]
     with pytest.raises(KeyError):
         session.sql("select a from nothing")
 
 
 def test_kinds_do_not_mix_and_anything_has_a_truth(session):
-    assert session.rows("select name from people where age = '12'") == []
+    assert session.rows("select name from crew where years = '9'") == []
     with pytest.raises(TypeError):
-        session.sql("select name from people where age < '12'")
-    assert session.sql("select name from people where 0").count() == 0
-    assert session.sql("select name from people where name and 1").count() == 3
-    differs = BinaryExpression(Identifier("age"), "!=", Literal("12"))
-    assert session.sql(Query((SelectItem(Identifier("name"), "n"),), TableRef("people"), where=differs)).columns == ["n"]
+        session.sql("select name from crew where years < '9'")
+    assert session.sql("select name from crew where 0").count() == 0
+    assert session.sql("select name from crew where name and 1").count() == 3
+    differs = BinaryExpression(Identifier("years"), "!=", Literal("9"))
+    assert session.sql(Query((SelectItem(Identifier("name"), "n"),), TableRef("crew"), where=differs)).columns == ["n"]
     with pytest.raises(ValueError):
-        session.sql("select name from people where count(age) = 1")
+        session.sql("select name from crew where count(years) = 1")
 
 
 def test_names_are_exact(spark, session):
@@ -128,14 +130,14 @@ def test_entry_points(spark):
 def test_an_empty_table_keeps_its_columns(spark, session):
     session.register("empty", from_rows(spark, [], T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.StringType())])))
     assert session.sql("select id, count(*) from empty group by id order by id").columns == ["id", "count"]
-    assert session.rows("select name, x from people join empty on id = id order by name") == []
+    assert session.rows("select name, x from crew join empty on id = id order by name") == []
 
 
 def test_statistics_and_explain(session):
-    stats = collect_stats(session.tables["people"], columns=True)
-    assert stats.row_count == 3 and stats.columns["age"].minimum == 10 and stats.columns["city"].distinct_count == 2
-    session.analyze("people", "cities")
-    text = session.explain("select name, city_name from people join cities on city_id = id", physical=True)
+    stats = collect_stats(session.tables["crew"], columns=True)
+    assert stats.row_count == 3 and stats.columns["years"].minimum == 4 and stats.columns["port"].distinct_count == 2
+    session.analyze("crew", "ports")
+    text = session.explain("select name, port_name from crew join ports on port_id = id", physical=True)
     assert "strategy=broadcast" in text and "BroadcastHashJoin" in text
 
 
@@ -148,37 +150,102 @@ def test_plans_prune_push_and_follow_hints(spark):
     text = plan_of(one.sql("select p_partkey from part where p_size >= 40"))
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in text and "GreaterThanOrEqual(p_size,40)" in text
     joined = "select o_orderkey, l_linenumber from orders join lineitem on o_orderkey = l_orderkey"
-    assert "SortMergeJoin" in plan_of(one.analyze("orders", "lineitem").sql(joined))
+    text = one.analyze("orders", "lineitem").explain(joined, physical=True)
+    assert "strategy=sort_merge" in text and "Join Hint" not in text and "hint" not in text.lower()  # left to adaptive execution
     many = catalogue.session(spark, MIDDLE)
     assert "CartesianProduct" not in plan_of(many.sql("select s_suppkey from supplier join customer on s_nationkey = c_nationkey and s_acctbal > c_acctbal"))
     grouped = plan_of(many.sql("select o_orderstatus, count(*) from orders group by o_orderstatus"))
     assert "partial_count" in grouped
 
 
+@pytest.mark.parametrize(("strategy", "operator"), [("hash", "ShuffledHashJoin"), ("sort_merge", "SortMergeJoin"), ("broadcast", "BroadcastHashJoin"), (None, "BroadcastHashJoin")])
+def test_forced_strategies_are_followed(spark, strategy, operator):
+    keys = BinaryExpression(Identifier("o_custkey"), "=", Identifier("c_custkey"))
+    session = catalogue.session(spark, MIDDLE)
+    plan = Projection(Join(Scan("orders"), Scan("customer"), keys, strategy, forced=True), (SelectItem(Star()),))
+    assert operator in plan_of(session.execute(plan)) and session.execute(plan).count() == 15_000
+    if strategy == "hash":
+        assert operator in plan_of(catalogue.join_hash(spark, MIDDLE))
+
+
+def test_bare_columns_do_not_depend_on_the_order_of_rows(spark, session):
+    rows = [{"k": k % 3, "a": (7 * k) % 10, "b": k} for k in range(60)]
+    session.register("t", rows)
+    session.register("u", session.tables["t"].orderBy(F.rand(3)).repartition(5))
+    want = [{"k": k, "a": min(r["a"] for r in rows if r["k"] == k), "b": min((r["a"], r["b"]) for r in rows if r["k"] == k)[1], "count": 20} for k in range(3)]
+    for table in "tu":
+        assert session.rows(f"select k, a, b, count(*) from {table} group by k order by k") == want
+
+
+def test_true_counts_as_one(spark, session):
+    session.register("t", [{"x": True}, {"x": False}, {"x": True}])
+    assert session.rows("select sum(x) from t") == [{"sum": 2}]
+
+
+def test_modes_and_rows(spark, session):
+    one = EngineSession(spark, scheduler=LocalScheduler(0, 0))
+    assert one.execution_mode == "sequential" and one.scheduler == LocalScheduler(1, 1)
+    query = Parser().parse("select name from crew")
+    assert one.execution_summary(query) == "mode=sequential workers=1 plan=Projection"
+    two = EngineSession(spark, scheduler=LocalScheduler(workers=2, batch_size=2))
+    assert two.execution_mode == "parallel" and two.execution_summary("select name from crew order by name") == "mode=parallel workers=2 plan=Sort"
+    two.register("big", spark.range(100).repartition(9).withColumnRenamed("id", "n"))
+    assert two.sql("select n from big").rdd.getNumPartitions() == 2 and two.sql("select n from big").count() == 100
+    assert session.workers == spark.sparkContext.defaultParallelism
+    assert RowExecutor(spark).execute(LogicalPlanner().plan(query), {"crew": CREW[:1]}) == [{"name": "ines"}]
+
+
+def test_report_of_modes(tmp_path):
+    write_modes({"q": {"rows": 0.5, "parallel": 0.25}, "z": {"rows": 1.0, "parallel": 0.0}}, tmp_path, "Title")
+    assert (tmp_path / "benchmark_modes.csv").read_text().split() == ["query,rows_ms,parallel_ms,parallel_speedup", "q,500.0,250.0,2.0", "z,1000.0,0.0,inf"]
+    assert "| q | 500.000 | 250.000 | 2.00x |" in (tmp_path / "benchmark_modes.md").read_text()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    session = lambda master, named=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: named), sparkContext=SimpleNamespace(master=master))
+    assert exchange.shared_folder(session("spark://somewhere:7077", "hdfs:/here")) == "hdfs:/here"
+    assert "tarnlake-" in exchange.shared_folder(session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        exchange.shared_folder(session("spark://somewhere:7077"))
+
+
+def test_the_engine_does_not_need_the_packages_of_other_operators(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('blocked')")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert 'scan_table' in e.queries() and 'scan_table' in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{root}"})
+
+
 def test_exchange(spark, tmp_path):
-    frame = from_rows(spark, PEOPLE)
-    parts = exchange.partition(frame, "city", 2)
+    frame = from_rows(spark, CREW)
+    parts = exchange.partition(frame, "port", 2)
     assert exchange.materialize(parts).count() == 3
-    per_key = parts.groupBy("city").agg(F.countDistinct(exchange.PARTITION).alias("n")).collect()
+    per_key = parts.groupBy("port").agg(F.countDistinct(exchange.PARTITION).alias("n")).collect()
     assert all(r["n"] == 1 for r in per_key)
     exchange.checkpoint(parts, str(tmp_path / "parts"))
     assert sorted(map(str, exchange.materialize(exchange.restore(spark, str(tmp_path / "parts"))).collect())) == sorted(map(str, frame.collect()))
 
 
 def test_distributed(spark, session):
-    left, right = session.tables["people"], session.tables["cities"]
-    assert [(r["name"], r["id"]) for r in to_rows(distributed_join(left, right, "city_id", "id"))] == [("alice", 100), ("bob", 200), ("carol", 100)]
-    assert to_rows(distributed_count(left, "city")) == [{"city": "seattle", "count": 2}, {"city": "vancouver", "count": 1}]
-    assert NAMES(to_rows(distributed_query(session, "select name, city_name from people join cities on city_id = id where age >= 12"))) == ["bob", "carol"]
+    left, right = session.tables["crew"], session.tables["ports"]
+    assert [(r["name"], r["id"]) for r in to_rows(distributed_join(left, right, "port_id", "id"))] == [("ines", 7), ("otto", 8), ("ruth", 7)]
+    assert to_rows(distributed_count(left, "port")) == [{"port": "gdansk", "count": 2}, {"port": "lagos", "count": 1}]
+    assert NAMES(to_rows(distributed_query(session, "select name, port_name from crew join ports on port_id = id where years >= 9"))) == ["otto", "ruth"]
 
 
 def test_shards(spark):
-    shards = Shards(EngineSession(spark), replicated=["cities"])
-    shards.register("a", {"people": [PEOPLE[0], PEOPLE[1]], "cities": CITIES})
-    shards.register("b", {"people": [PEOPLE[2]], "cities": CITIES})
-    assert NAMES(to_rows(shards.query("select name, city_name from people join cities on city_id = id order by name"))) == ["alice", "bob", "carol"]
-    assert to_rows(shards.query("select count(*) from people")) == [{"count": 3}]
-    assert shards.query("select * from cities").count() == 2
+    shards = Shards(EngineSession(spark), replicated=["ports"])
+    shards.register("a", {"crew": [CREW[0], CREW[1]], "ports": PORTS})
+    shards.register("b", {"crew": [CREW[2]], "ports": PORTS})
+    assert NAMES(to_rows(shards.query("select name, port_name from crew join ports on port_id = id order by name"))) == ["ines", "otto", "ruth"]
+    assert to_rows(shards.query("select count(*) from crew")) == [{"count": 3}]
+    assert shards.query("select * from ports").count() == 2
 
 
 def test_a_failing_task_is_tried_again(spark):
@@ -195,12 +262,12 @@ def test_a_failing_task_is_tried_again(spark):
 def test_streams(spark, session, tmp_path):
     from tarnlake import streaming
 
-    session.tables["people"].write.parquet(str(tmp_path / "in"))
-    session.register("live", streaming.follow(spark, str(tmp_path / "in"), session.tables["people"].schema))
-    streaming.start(session.sql("select name from live where age >= 12"), "names_out", str(tmp_path / "c1")).awaitTermination(60)
-    assert sorted(NAMES(spark.table("names_out").collect())) == ["bob", "carol"]
-    streaming.start(session.sql("select city, count(*) from live group by city"), "counts_out", str(tmp_path / "c2"), complete=True).awaitTermination(60)
-    assert {r["city"]: r["count"] for r in spark.table("counts_out").collect()} == {"seattle": 2, "vancouver": 1}
+    session.tables["crew"].write.parquet(str(tmp_path / "in"))
+    session.register("live", streaming.follow(spark, str(tmp_path / "in"), session.tables["crew"].schema))
+    streaming.start(session.sql("select name from live where years >= 9"), "names_out", str(tmp_path / "c1")).awaitTermination(60)
+    assert sorted(NAMES(spark.table("names_out").collect())) == ["otto", "ruth"]
+    streaming.start(session.sql("select port, count(*) from live group by port"), "counts_out", str(tmp_path / "c2"), complete=True).awaitTermination(60)
+    assert {r["port"]: r["count"] for r in spark.table("counts_out").collect()} == {"gdansk": 2, "lagos": 1}
 
 
 def test_command_line(spark, capsys, monkeypatch):
@@ -222,5 +289,11 @@ def test_catalogue_against_duckdb(spark, name):
             db.execute(f"create view {table} as select * from '{MIDDLE}/{table}.parquet'")
         want = db.execute(catalogue.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    in_order = lambda f: sorted(map(repr, f[sorted(f.columns)].astype(object).itertuples(index=False, name=None)))
-    assert in_order(got) == in_order(want)
+    rows = lambda f: list(map(repr, f[sorted(f.columns)].astype(object).itertuples(index=False, name=None)))
+    if "order by" in catalogue.SQL[name] or name == "dist_count":  # in this order, but for ties
+        keys = {"agg_over_join": ["n_name"], "events_count": ["event_type"], "sort_asc": ["p_size", "p_partkey"], "sort_desc": ["p_retailprice", "p_partkey"], "join_filter_sort": ["o_orderkey"]}
+        keys |= {"shard_union": ["n_name"], "dist_query": ["c_custkey", "n_name"], "dist_count": ["o_orderstatus"]}
+        by = keys[name]
+        want = want.sort_values(by) if name == "dist_count" else want
+        assert rows(got[by]) == rows(want[by])
+    assert sorted(rows(got)) == sorted(rows(want))
