@@ -1,22 +1,34 @@
-"""From raw documents to token ids: five stages, each an operator of tarnlake.llm."""
+"""From raw documents to token ids: five stages, each an operator of tarnlake.llm.
 
-from __future__ import annotations
+Each stage reads all that the one before it kept, as Parquet in the shared folder; a stage's folder is deleted as soon as the
+next one is written, and the last at exit (`tarnlake.llm.common.clear_scratch` does so before). All stages but the last
+return the documents' columns, whatever they are.
+
+Defined cases: documents whose text is null, empty or without letters go in the first stage. Repeated rows, whether their
+doc_id is the same, null or not, are one document after exact dedup. An empty table gives an empty table of the last stage's
+columns. Texts of any length pass whole. Columns may have any names, those of the operators' own included.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
 from tarnlake.llm import bagminhash, exact_dedup, langid, mixing, pieces
-from tarnlake.llm.common import shared_dir, table
+from tarnlake.llm.common import remove, scratch, table
 
 MODEL = "piece_bpe_32k.model"
 
 
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(MODEL)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those whose language is unclear, go."""
-    model = langid.train(docs, langid.learnable(docs), public_tokenizers.path(MODEL))
+    model = langid.train(docs, langid.learnable(docs), model_path())
     return langid.keep_identified(docs, model)
 
 
@@ -37,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of the decoded text."""
-    found = pieces.encode_documents(docs, public_tokenizers.path(MODEL))
+    found = pieces.encode_documents(docs, model_path())
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -55,9 +67,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents; each is written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        folder = scratch(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before is not None:
+            remove(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,7 +19,6 @@ fill many blocks. An empty table gives an empty folder of the same schema. Extra
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytebpe import Encoder
-from .common import shared_dir, table, text_of
+from .common import scratch, table, text_of
 from .words import slices
 
 #: Ids in a block; what is appended to each document.
@@ -171,7 +170,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/token-planes-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-planes")
     write_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     found = read_documents(spark, path)
     return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

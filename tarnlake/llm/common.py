@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,11 +47,33 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_SCRATCH: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what results read until they are used; deleted at exit or by `clear_scratch`."""
+    if not _SCRATCH:
+        atexit.register(clear_scratch)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH[path] = spark
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
+    _SCRATCH.pop(path, None)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+
+
+def clear_scratch() -> None:
+    """Delete all folders that `scratch` named and that are still there. Results that read them are of no use afterwards."""
+    for path, spark in list(_SCRATCH.items()):
+        _SCRATCH.pop(path)
+        # at exit Spark may be gone; nothing but the folder is lost then
+        with contextlib.suppress(Exception):
+            remove(spark, path)
 
 
 def cut(frame: DataFrame) -> DataFrame:

@@ -182,6 +182,50 @@ def brute_classes(docs, near=0.8):
     return Counter((key(d), min(map(key, ids)), len(ids)) for ids in out.values() for d in ids)
 
 
+def test_one_of_each_keeps_one_row_of_a_class(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (None, text + " x"), (None, text), (None, text + " y"), (3, text), (3, text), (4, "other words"), (None, "other words"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, _id string")
+    out = bagminhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], (r["text"] or "")[:5]) for r in out.collect()))) == ["(3, 'w0 w1')", "(4, 'other')", "(None, '')"]
+
+
+@pytest.mark.parametrize("part", [4096, 7])
+def test_a_large_group_is_compared_part_by_part(spark, part):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base, f"end{k}"])) for k in range(80)] + [(100 + k, " ".join([*base[:40], *(f"x{k}" for _ in range(3))])) for k in range(5)]
+    known = bagminhash.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = [(1, len(rows), 0, k, bagminhash.occurrences(bagminhash.shingles(t)).astype("<u8").tobytes()) for k, (_, t) in enumerate(rows)]
+    groups = spark.createDataFrame(sets, "key long, n long, first long, node long, payload binary")
+    edges = bagminhash.links(groups, bagminhash.sets_near, True, tile=8, part=part)
+    got = {r["node"]: r["root"] for r in bagminhash.components(edges).collect()}
+    want = defaultdict(set)
+    for d, c, _ in brute_classes(rows):
+        want[c].add(d)
+    found = defaultdict(set)
+    for k, (d, _) in enumerate(rows):
+        found[got.get(k, k)].add(d)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and known.count() == len(rows)
+
+
+def test_components_of_a_hot_node(spark):
+    edges = [(0, k) for k in range(1, 700)] + [(k, k + 1000) for k in range(1, 50)] + [(5000, 5001), (5001, 5002), (5002, 5003)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = {r["node"]: r["root"] for r in bagminhash.components(frame).collect()}
+    assert got == {n: 0 if n < 5000 else 5000 for e in edges for n in e}
+    assert bagminhash.components(frame.filter("a < 0")).count() == 0
+
+
+def test_sketches_of_many_are_those_of_each():
+    texts = ["", "a b", "a b c d e", "a a a a a a a a a", " ".join("xyz"[k % 3] for k in range(400)), " ".join(map(str, range(900)))]
+    sets = bagminhash.shingles_of(texts)
+    assert [s.tolist() for s in sets] == [bagminhash.shingles(t).tolist() for t in texts]
+    many = bagminhash.sketches_of(sets)
+    for s, row in zip(sets, many, strict=True):
+        assert row.tolist() == (bagminhash.sketch(s).tolist() if len(s) else [0] * bagminhash.REGISTERS)
+
+
 @pytest.mark.parametrize("tile", [256, 4])
 def test_near_duplicates(spark, odd, none, tile):
     got = bagminhash.classes(odd, tile).collect()

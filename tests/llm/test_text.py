@@ -2,6 +2,7 @@
 
 import html
 import math
+import os
 import random
 import re
 import time
@@ -548,6 +549,49 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == len(out)
 
 
+def plain_pipeline(rows):
+    """doc_ids that the first three stages keep, as sets of those that may stay, of (doc_id, text)."""
+    from test_dedup import brute_classes, normal
+
+    lettered = [(d, t) for d, t in rows if any(c.isalpha() for c in t or "")]
+    first = {}
+    for d, t in sorted(lettered, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(normal(t), (d, t))
+    texts = [(k, t) for k, (_, t) in enumerate(first.values())]
+    ids = [d for d, _ in first.values()]
+    return sorted((ids[c] for c in {c for _, c, _ in brute_classes(texts)}), key=repr)
+
+
+def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    near = [(None, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty" + x) for x in ("", " a", " a")]
+    more = spark.createDataFrame([(d, t, None, None, 0, *["clash"] * 11) for d, t in near + [(50, None), (50, "  ")]], odd.schema)
+    docs = odd.withColumn("lang", F.lit(None).cast("string")).unionByName(more)  # no language can be learned: all with letters pass
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in pipeline.STAGES[:3]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == plain_pipeline([(r["doc_id"], r["text"]) for r in docs.collect()])
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
+    (tmp_path / "none").mkdir()
+    none.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    empty = pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.columns == out.columns and empty.count() == 0
+
+
+def test_scratch_folders_are_deleted(spark):
+    from tarnlake.llm import common
+
+    common.clear_scratch()
+    path = common.scratch(spark, "kept-until-used")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    common.clear_scratch()
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
 
