@@ -6,9 +6,10 @@ running sum of sizes is the demand at which its turn comes, and inverting the in
 are then range-sorted by position. A source whose target exceeds its size begins its documents again.
 
 The shuffled order is by MD5 of the doc_id and the text's MD5, so that reruns agree, and rows that share a doc_id or have
-none are spread as well. Running sums are taken within (source, bucket), where a bucket is a range of the order; there is
-one for each ROWS_OF_BUCKET rows, so that a source with a third of all rows is spread over many tasks, at any size, and no
-result depends on their number. Buckets' totals are summed before the shuffle.
+none are spread as well. Running sums are taken within (source, bucket), where a bucket is a range of the order; there are
+as many as the square root of the number of rows, so that a source with a third of all rows is spread over many tasks at any
+size, and its buckets are as few as the rows of one. No result depends on their number. Buckets' totals are summed before
+the shuffle.
 
 Defined cases: a null text has size 0, is taken 0 times and has no position; a null source is a source of its own, the
 last; a null doc_id is ordered as an empty one. Texts of any length are counted whole. Rows alike in doc_id and text stand
@@ -18,6 +19,7 @@ side by side. If all sizes are 0, all targets are 0. An empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +32,6 @@ from .common import WORD, cut, table, text_of, unused
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Rows of a part of the shuffled order within which sums run.
-ROWS_OF_BUCKET = 50_000
 #: Weight at knots in time, linear in between, repeating like WEIGHTS; only the shape matters. Early, even and late use.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -93,15 +93,15 @@ def mix(
     again.
 
     taken: words that the mix takes; a source's sum is its target rounded to a whole number. position: training time
-    (0 to 1) of the document's first copy, null if none is taken; again: that of the second. buckets: their number, if
-    not by ROWS_OF_BUCKET.
+    (0 to 1) of the document's first copy, null if none is taken; again: that of the second. buckets: their number, if not
+    by that of the rows.
     """
     if most > 2:
         raise ValueError("a document has two positions at most")
     own = F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit("|"), F.md5(text_of(docs)))
     rows = cut(docs.select(docs["doc_id"], docs["source"], n_words(docs).alias("size"), F.md5(own).alias("turn")))
     if buckets is None:
-        buckets = 1 + rows.count() // ROWS_OF_BUCKET
+        buckets = 1 + math.isqrt(rows.count())
     place = F.conv(F.substring("turn", 1, 7), 16, 10).cast("long")  # 28 bits, in the order of turns
     rows = rows.withColumn("bucket", F.shiftright(place * F.lit(buckets), 28))
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
