@@ -57,7 +57,12 @@ class _Open:
 
     def last(self, names) -> int:
         """Place of the innermost open element of these names; 0 if there is none."""
-        return max((at[-1] for x in names if (at := self.places.get(x))), default=0)
+        out, places = 0, self.places
+        for x in names:
+            at = places.get(x)
+            if at and at[-1] > out:
+                out = at[-1]
+        return out
 
     def push(self, node: Node) -> None:
         self.places.setdefault(node.name, []).append(len(self.stack))

@@ -39,10 +39,9 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 from .htmltree import Node, parse
 
 #: A subtree on so many pages of a host, and on this share of its pages, is template.
@@ -359,13 +358,14 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE)
     counted = once.select("host", "section", F.explode("hashes").alias("hash")).groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n"))
     of_host = counted.groupBy("host", "hash").agg(F.sum("n").alias("n")).select("host", F.lit(None).cast("string").alias("section"), "hash", "n")
     # few hashes recur so often; the number of pages is that of PAGE
-    often = of_host.unionByName(counted.filter(F.col("section") != "")).filter(F.col("n") >= least)
-    n_pages = F.max(F.when(F.col("hash") == PAGE, F.col("n"))).over(W.partitionBy("host", "section"))
+    often = cut(of_host.unionByName(counted.filter(F.col("section") != "")).filter(F.col("n") >= least))
+    sizes = often.filter(F.col("hash") == PAGE).select(F.col("host").alias("its_host"), F.col("section").alias("its_section"), F.col("n").alias("n_pages"))
+    same = (F.col("host") == F.col("its_host")) & F.col("section").eqNullSafe(F.col("its_section"))
     kind = F.col("hash").bitwiseAND(KINDS)
     enough = F.col("n") >= F.col("n_pages") * needed(share)
     many = (kind == BOX) & (F.col("n") >= MANY_PAGES)
     sure = F.when(kind == BOX, enough).when(kind == PLAIN, F.col("n") >= F.col("n_pages") * max(share, EDGE_SHARE)).otherwise((kind == PROSE) & enough & (F.col("n") >= 2 * least))
-    found = often.withColumn("n_pages", n_pages).filter(F.col("hash") != PAGE).filter(F.when(F.col("section").isNull(), enough | many).otherwise(sure))
+    found = often.filter(F.col("hash") != PAGE).join(small(sizes, 100, BROADCAST_BYTES), same).filter(F.when(F.col("section").isNull(), enough | many).otherwise(sure))
     return found.select("host", "section", "hash")
 
 
@@ -392,8 +392,8 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) ->
     known = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"], host(pages["url"]).alias("host"), section(pages["url"]).alias("section"))
     # a checked size decides whether the pages have to be shuffled
     size = lists.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + F.coalesce(F.octet_length("section"), F.lit(0)) + 64)).first()[0] or 0
-    small = F.broadcast if size <= BROADCAST_BYTES else lambda frame: frame
-    joined = known.join(small(of_host), "host", "left").join(small(of_section), ["host", "section"], "left").select("page_id", "url", "html", "template", "more")
+    marked_small = F.broadcast if size <= BROADCAST_BYTES else lambda frame: frame
+    joined = known.join(marked_small(of_host), "host", "left").join(marked_small(of_section), ["host", "section"], "left").select("page_id", "url", "html", "template", "more")
     return joined.mapInArrow(rows, "page_id bigint, url string, text string, n_template bigint").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
 
 
