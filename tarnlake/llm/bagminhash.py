@@ -39,7 +39,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, hold, small, table, text_of, unused
+from .common import cut, give_back, hold, rows_told, small, table, text_of, unused
 from .skew import lookup, with_first
 from .words import slices
 
@@ -49,8 +49,8 @@ BANDS = 28
 ROWS = 4
 REGISTERS = BANDS * ROWS
 #: Nodes in a block of a tile; of a large group, nodes compared with its first in one task.
-TILE = 128
-PART = 4096
+TILE = 256
+PART = 512
 #: Buckets that are broadcast with their sizes, at most.
 HOT = 2000
 #: An estimate may fall so many standard deviations short.
@@ -477,17 +477,10 @@ def classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with all their columns, one of each class: one with the smallest doc_id."""
     names = [unused(docs, n) for n in ("_id", "_no_id", "_t1", "_t2")]
-    keys = lambda f, t: [c.alias(n) for c, n in zip((F.coalesce(f["doc_id"].cast("long"), F.lit(0)), f["doc_id"].isNull(), *t), names, strict=True)]
+    parts = lambda f, t: dict(zip(names, (F.coalesce(f["doc_id"].cast("long"), F.lit(0)), f["doc_id"].isNull(), *t), strict=True))
     found = told(docs)
-    rows = found.select(*keys(found, [found["t1"], found["t2"]]), F.col("kept").cast("int").alias("kept")).groupBy(*names).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    # rows alike in doc_id and text are one key: all of them go, or all but one
-    few = cut(rows.filter("stays = 0 or n > 1"))
-    gone, repeated = few.filter("stays = 0").select(*names), few.filter("stays = 1").select(*names)
-    left = docs.select("*", *keys(docs, hashes(text_of(docs)))).join(small(gone, 40), names, "left_anti")
-    if not repeated.isEmpty():
-        again = small(repeated, 40)
-        left = left.join(again, names, "left_anti").unionByName(left.join(again, names, "left_semi").dropDuplicates(names))
-    return left.select(*docs.columns)
+    rows = found.select(*(c.alias(n) for n, c in parts(found, [found["t1"], found["t2"]]).items()), "kept")
+    return rows_told(docs, parts(docs, hashes(text_of(docs))), rows, 40)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,24 @@ def small(frame: DataFrame, width: int, most: int = BROADCAST_BYTES) -> DataFram
     return F.broadcast(frame) if frame.count() * width <= most else frame
 
 
+def rows_told(docs: DataFrame, keys: dict[str, Column], told: DataFrame, width: int) -> DataFrame:
+    """The rows of `docs` that `told` keeps, with all their columns.
+
+    told has a row for each of docs: their keys, by the names of `keys` (expressions over docs, never null), and `kept`.
+    Rows alike in all keys are one to us: if `told` keeps any of them, one of them stays. Only keys of rows that go, or of
+    rows that repeat, are joined with docs; they are broadcast if they are few (`width`: bytes of all keys of a row).
+    """
+    names = list(keys)
+    rows = told.groupBy(*names).agg(F.max(F.col("kept").cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    few = cut(rows.filter("stays = 0 or n > 1"))
+    gone, repeated = few.filter("stays = 0").select(*names), few.filter("stays = 1").select(*names)
+    left = docs.select("*", *(c.alias(n) for n, c in keys.items())).join(small(gone, width), names, "left_anti")
+    if not repeated.isEmpty():
+        again = small(repeated, width)
+        left = left.join(again, names, "left_anti").unionByName(left.join(again, names, "left_semi").dropDuplicates(names))
+    return left.select(*docs.columns)
+
+
 _HELD: dict[str, Callable[[], object]] = {}
 
 

@@ -6,7 +6,8 @@ are summed and joined by an ordinary shuffle (skew.py).
 
 Defined cases: a null text counts as empty, so all null, empty and missing texts are copies of each other; a text of
 white space only is one space, and differs from the empty one. The row with the smallest doc_id stays, a null doc_id
-comes last, and of rows that repeat doc_id and text exactly one stays. An empty table gives an empty table. Further
+comes last, and of rows that repeat doc_id and text exactly one stays. Texts of any length are read whole, and only
+their digests are shuffled; two texts of one SHA-256 would count as equal. An empty table gives an empty table. Further
 columns of the documents, whatever their names, pass through `drop_copies`.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, table, text_of, unused
+from .common import BLANKS, cut, rows_told, table, text_of, unused
 from .skew import SUPPORT, with_first
 
 
@@ -42,15 +43,11 @@ def exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The rows of `docs`, one for each distinct text, with all their columns."""
-    keys = [unused(docs, n) for n in ("_id", "_no_id", "_digest")]
-    parts = lambda f, d: [c.alias(k) for c, k in zip((F.coalesce(f["doc_id"], F.lit(0)), f["doc_id"].isNull(), d), keys, strict=True)]
+    names = [unused(docs, n) for n in ("_id", "_no_id", "_digest")]
+    parts = lambda f, d: dict(zip(names, (F.coalesce(f["doc_id"], F.lit(0)), f["doc_id"].isNull(), F.unhex(d)), strict=True))
     copies = exact_copies(docs, support)
-    kept = copies.filter("kept").select(*parts(copies, F.col("text_sha256")))
-    stay = docs.select("*", *parts(docs, digest(docs))).join(kept, keys, "left_semi")
-    repeated = cut(copies.groupBy(*parts(copies, F.col("text_sha256"))).count().filter("count > 1").select(*keys))
-    if not repeated.isEmpty():  # rows that repeat a doc_id and its text: one of each
-        stay = stay.join(repeated, keys, "left_anti").unionByName(stay.join(repeated, keys, "left_semi").dropDuplicates(keys))
-    return stay.select(*docs.columns)
+    told = copies.select(*(c.alias(n) for n, c in parts(copies, F.col("text_sha256")).items()), "kept")
+    return rows_told(docs, parts(docs, digest(docs)), told, 60)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

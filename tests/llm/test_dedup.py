@@ -182,6 +182,33 @@ def brute_classes(docs, near=0.8):
     return Counter((key(d), min(map(key, ids)), len(ids)) for ids in out.values() for d in ids)
 
 
+def test_no_near_pair_of_the_test_data_is_missed(spark):
+    """All pairs of 10,000 documents whose similarity is 0.8 or more, by an index of all shingles, are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    place = {}
+    node = [place.setdefault(bagminhash.occurrences(s).tobytes(), len(place)) for s in bagminhash.shingles_of([r["text"] or "" for r in docs])]
+    sets = [np.frombuffer(x, "<u8") for x in place]
+    sizes = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    spread, pairs = Counter(), []
+    for k, s in enumerate(sets):
+        lo, hi = np.searchsorted(every, s), np.searchsorted(every, s, "right")
+        both = Counter(v for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if b - a > 1 for v in owner[a:b].tolist() if v > k)
+        for v, n in both.items():
+            near = n / (sizes[k] + sizes[v] - n)
+            spread[int(10 * near + 1e-9)] += 1
+            if near >= bagminhash.NEAR - 1e-12:
+                pairs.append((k, v))
+    of_doc = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
+    class_of = {}
+    for r, n in zip(docs, node, strict=True):
+        assert class_of.setdefault(n, of_doc[r["doc_id"]]) == of_doc[r["doc_id"]]
+    print("pairs of different texts by tenth of similarity", sorted(spread.items()), "near", len(pairs))
+    assert len(pairs) > 20 and all(class_of[a] == class_of[b] for a, b in pairs)
+
+
 def test_one_of_each_keeps_one_row_of_a_class(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = [(None, text), (None, text + " x"), (None, text), (None, text + " y"), (3, text), (3, text), (4, "other words"), (None, "other words"), (None, None), (None, "")]
