@@ -39,7 +39,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, hold, rows_told, small, table, text_of, unused
+from .common import cut, give_back, hold, mapped, rows_told, small, table, text_of, unused
 from .skew import lookup, with_first
 from .words import slices
 
@@ -236,7 +236,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         give_back()
 
     whole = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    made = whole.select("*", *hashes(F.col("text"))).mapInArrow(rows, "doc_id bigint, t1 bigint, t2 bigint, digest string, marks binary, bands array<bigint>")
+    made = mapped(whole.select("*", *hashes(F.col("text"))), rows, "doc_id bigint, t1 bigint, t2 bigint, digest string, marks binary, bands array<bigint>")
     return cut(made.select(F.monotonically_increasing_id().alias("node"), "*"))
 
 
@@ -337,7 +337,7 @@ def links(groups: DataFrame, near, any_large: bool, tile: int = TILE, part: int
         dealt = large.select("key", F.explode(mine).alias("part"), "node", "payload", "first")
         # the first of a group has its smallest node
         dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
-        starred = cut(dealt.mapInArrow(to_first(near), "key bigint, node bigint, payload binary, first bigint, near boolean"))
+        starred = cut(mapped(dealt, to_first(near), "key bigint, node bigint, payload binary, first bigint, near boolean"))
         stars = starred.filter("near and node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
         blocks = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / tile).cast("int")
         counted = cut(starred.groupBy("key").agg(blocks(F.col("near")).alias("n_near"), blocks(~F.col("near")).alias("n_far")).filter("n_far > 0"))
@@ -387,7 +387,7 @@ def links(groups: DataFrame, near, any_large: bool, tile: int = TILE, part: int
         if held:
             yield out(edges(held))
 
-    made = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(compare, "a bigint, b bigint")
+    made = mapped(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node"), compare, "a bigint, b bigint")
     return (made if stars is None else made.unionByName(stars)).distinct()
 
 
@@ -400,11 +400,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     before = state(edges)
     while before["n"]:
-        # a node may have a third of all edges: minima are taken in each task first, and those of frequent nodes broadcast
+        # a node may have a third of all edges: minima are taken in each task first, and those of frequent nodes broadcast,
+        # or all if they are few
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         edges = cut(lookup(both, "a", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
         small_ = lookup(edges, "a", least).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b"))
         edges = cut(small_.filter("a <> b").distinct())
         after = state(edges)
@@ -446,7 +447,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # texts of clusters only, and one of those that are equal
     texts = texts.join(small(wanted.select("t1", "t2"), 24), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.min("text").alias("text"))
     made = texts.join(wanted, ["t1", "t2"]).select("key", "n", "first", "node", "digest", "text")
-    return made.mapInArrow(rows, "key bigint, n bigint, first bigint, node bigint, payload binary")
+    return mapped(made, rows, "key bigint, n bigint, first bigint, node bigint, payload binary")
 
 
 def told(docs: DataFrame, tile: int = TILE) -> DataFrame:

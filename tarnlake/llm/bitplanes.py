@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytebpe import Encoder
-from .common import scratch, table, text_of
+from .common import BATCH_BYTES, mapped, scratch, table, text_of
 from .words import slices
 
 #: Ids in a block; what is appended to each document.
@@ -117,7 +117,7 @@ def write_documents(docs: DataFrame, path: str, vocabulary: str, end: int = END,
     # rows of one doc_id, or of none, are spread by the hash
     order = ("doc_id", "turn", "text")
     sorted_ = whole.repartitionByRange("doc_id", "turn").sortWithinPartitions(*order)
-    sorted_.select("doc_id", "text").mapInArrow(shard, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    mapped(sorted_.select("doc_id", "text"), shard, BLOCKS, 2 * BATCH_BYTES).write.option("compression", "none").parquet(f"{path}/blocks")
     blocks = docs.sparkSession.read.parquet(f"{path}/blocks")
     sizes = blocks.select("shard", "block", "n_ids", F.aggregate("planes", F.lit(0), lambda n, p: n + F.octet_length(p)).alias("n_bytes"), F.size("doc_ids").alias("n_docs"))
     # one row for each shard, of which there are as many as tasks
@@ -160,10 +160,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     full = F.broadcast(index.groupBy("shard").agg(F.max("n_ids").alias("full")))
     placed = blocks.join(full, "shard").withColumn("first", F.col("block").cast("long") * F.col("full"))
     placed = placed.select("shard", "block", "n_ids", "kind", "planes", "doc_ids", "begins", "lengths", "first")
-    once = placed.mapInArrow(unpack(True), PARTS).select("shard", "doc_id", "begin", "ids")
+    once = mapped(placed, unpack(True), PARTS).select("shard", "doc_id", "begin", "ids")
     # a document in several blocks: its own parts, in order, joined at once
     joined = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "ids"))), lambda x: F.hex(x["ids"])), ""))
-    again = placed.mapInArrow(unpack(False), PARTS).groupBy("shard", "doc_id", "begin").agg(joined.alias("ids"))
+    again = mapped(placed, unpack(False), PARTS).groupBy("shard", "doc_id", "begin").agg(joined.alias("ids"))
     return once.unionByName(again.select("shard", "doc_id", "begin", "ids")).join(bases, "shard").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "ids")
 
 

@@ -7,13 +7,15 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; everything else is part of a word.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that goes to a Python worker, or one longer row.
+BATCH_BYTES = 4 << 20
 #: What is broadcast because its size was checked is no larger.
 BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,6 +108,20 @@ def rows_told(docs: DataFrame, keys: dict[str, Column], told: DataFrame, width:
     return left.select(*docs.columns)
 
 
+def mapped(frame: DataFrame, rows: Callable[[Iterator], Iterator], schema, most: int = BATCH_BYTES) -> DataFrame:
+    """`frame.mapInArrow(rows, schema)` over batches of bounded bytes; workers give memory back after each task.
+
+    The bound is the session's spark.sql.execution.arrow.maxBytesPerBatch, which is set here.
+    """
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+    def task(batches: Iterator) -> Iterator:
+        yield from rows(batches)
+        give_back()
+
+    return frame.mapInArrow(task, schema)
+
+
 _HELD: dict[str, Callable[[], object]] = {}
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import cut, hold, table, text_of, unused
+from .common import cut, hold, mapped, table, text_of, unused
 from .words import slices
 
 MARK = "▁"
@@ -299,7 +299,7 @@ def train(docs: DataFrame, learn, model: str, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
     # distinct words of a bounded sample
-    counted = texts.select("lang", "text").mapInArrow(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = mapped(texts.select("lang", "text"), words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {}
     for r in counted.toLocalIterator():
         counts.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
@@ -388,7 +388,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str], names: tuple[st
                 columns = [*some.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
-    return whole.mapInArrow(rows, schema)
+    return mapped(whole, rows, schema)
 
 
 def remainder(doc_id, of: int):

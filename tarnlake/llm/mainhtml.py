@@ -41,7 +41,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, mapped, small, table
 from .htmltree import Node, parse
 
 #: A subtree on so many pages of a host, and on this share of its pages, is template.
@@ -353,7 +353,7 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE)
             found = [candidates(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w for _, w in found], pa.int64()), pa.array([[PAGE, *h] for h, _ in found], pa.list_(pa.int64()))], ["host", "section", "whole", "hashes"])
 
-    seen = pages.select(host(pages["url"]).alias("host"), section(pages["url"]).alias("section"), pages["html"]).mapInArrow(rows, "host string, section string, whole bigint, hashes array<bigint>")
+    seen = mapped(pages.select(host(pages["url"]).alias("host"), section(pages["url"]).alias("section"), pages["html"]), rows, "host string, section string, whole bigint, hashes array<bigint>")
     once = cut(seen.groupBy("host", "whole").agg(F.min(F.struct("section", "hashes")).alias("page")).select("host", "page.*"))
     counted = once.select("host", "section", F.explode("hashes").alias("hash")).groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n"))
     of_host = counted.groupBy("host", "hash").agg(F.sum("n").alias("n")).select("host", F.lit(None).cast("string").alias("section"), "hash", "n")
@@ -394,7 +394,7 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) ->
     size = lists.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + F.coalesce(F.octet_length("section"), F.lit(0)) + 64)).first()[0] or 0
     marked_small = F.broadcast if size <= BROADCAST_BYTES else lambda frame: frame
     joined = known.join(marked_small(of_host), "host", "left").join(marked_small(of_section), ["host", "section"], "left").select("page_id", "url", "html", "template", "more")
-    return joined.mapInArrow(rows, "page_id bigint, url string, text string, n_template bigint").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
+    return mapped(joined, rows, "page_id bigint, url string, text string, n_template bigint").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import hold, table, text_of
+from .common import hold, mapped, table, text_of
 from .langid import remainder
 
 #: Labelled rows learned from at most.
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, sample: int = S
             found = [features(t.as_py()).astype("<i4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["y", "found"])
 
-    got = [(r["y"], bytes(r["found"])) for r in texts.mapInArrow(rows, "y int, found binary").toLocalIterator()]
+    got = [(r["y"], bytes(r["found"])) for r in mapped(texts, rows, "y int, found binary").toLocalIterator()]
     got.sort()  # the fit depends on the order
     return fit([np.frombuffer(x, "<i4").astype(np.int64) for _, x in got], [y for y, _ in got])
 
@@ -208,7 +208,7 @@ def score_documents(docs: DataFrame, model: Model, keep: Sequence[str], name: st
             found = pa.array([score(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, name])
 
-    return docs.select(*(docs[c].alias(f"c{k}") for k, c in enumerate(keep)), text_of(docs).alias("text")).mapInArrow(rows, schema)
+    return mapped(docs.select(*(docs[c].alias(f"c{k}") for k, c in enumerate(keep)), text_of(docs).alias("text")), rows, schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

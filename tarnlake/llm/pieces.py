@@ -15,7 +15,7 @@ so is one whole text of each slice, the first. A difference raises ValueError: w
 
 Defined cases: a null text counts as empty and has no ids; white space of any kind is kept; a U+2581 in a text is the
 space mark and decodes to a space, as in the library. Texts and words of any length are encoded whole: slices hold
-BYTES_AT_ONCE bytes of text or one longer text, and a heap's time grows as n log n. Repeated rows each give a row; an empty
+BATCH_BYTES / 2 bytes of text or one longer text, and a heap's time grows as n log n. Repeated rows each give a row; an empty
 table gives an empty table; extra columns are ignored.
 """
 
@@ -28,13 +28,15 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table, text_of
+from .common import BATCH_BYTES, hold, mapped, table, text_of
 from .words import expanded, numbered, slices, totals
 
 MARK = "▁"
 #: Words of each of a worker's two memories; the longest word kept in them and merged with others.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 80_000
 LONGEST_KEPT = 48
+#: Ids decoded at a time.
+IDS_AT_ONCE = 100_000
 
 #: Texts that are not words between single spaces.
 _UNEVEN = f"^$|^ | $|  |{MARK}"
@@ -302,8 +304,13 @@ class Pieces:
     def decode(self, ids, sizes) -> list[str]:
         import numpy as np
 
-        flat, ends = ids.tolist(), np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        return self.library.decode([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], num_threads=1) if len(sizes) else []
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out: list[str] = []
+        while len(out) < len(sizes):  # a bounded number of ids as Python's integers at a time, or one longer text
+            at = len(out)
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + IDS_AT_ONCE, "right")) - 1)
+            out += self.library.decode([ids[a:b].tolist() for a, b in zip(ends[at:stop], ends[at + 1 : stop + 1], strict=True)], num_threads=1)
+        return out
 
 
 def _encoded(batches: Iterator, model: str) -> Iterator:
@@ -327,7 +334,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([doc_ids, lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(rows, "doc_id bigint, ids array<int>, decoded string")
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")), rows, "doc_id bigint, ids array<int>, decoded string", BATCH_BYTES // 2)
 
 
 def digest_documents(docs: DataFrame, model: str) -> DataFrame:
@@ -344,13 +351,12 @@ def digest_documents(docs: DataFrame, model: str) -> DataFrame:
         for doc_ids, ids, sizes, decoded in _encoded(batches, model):
             if (top := int(ids.max(initial=0))) >= len(decimal):
                 decimal += map(str, range(len(decimal), top + 1))
-            spelt = list(map(decimal.__getitem__, ids.tolist()))
             ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            of_ids = [sha256(",".join(spelt[a:b]).encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+            of_ids = [sha256(",".join(map(decimal.__getitem__, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
             of_text = [sha256(x.encode()).hexdigest() for x in decoded]
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")), rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", BATCH_BYTES // 2)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

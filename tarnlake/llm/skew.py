@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_BYTES, cut
 
+#: Bytes of an answer, about.
+WIDTH = 32
 #: Keys above this share of all rows are broadcast; so there are at most 1 / SUPPORT of them.
 SUPPORT = 1 / 2000
 
@@ -21,12 +23,14 @@ def frequent(rows: DataFrame, key: str, support: float = SUPPORT) -> DataFrame:
     return found.select(F.explode("k_freqItems").alias(key)).filter(F.col(key).isNotNull())
 
 
-def lookup(rows: DataFrame, key: str, answers: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """`rows` left-joined with `answers`, which has one row for each key; a key may have a third of the rows.
+def lookup(rows: DataFrame, key: str, answers: DataFrame, support: float = SUPPORT, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`rows` left-joined with `answers`, which has one slim row for each key; a key may have a third of the rows.
 
-    Misra-Gries proposes the frequent keys; their answers, at most 1 / support rows, are broadcast. The other keys have
+    Answers, which should be materialised, are broadcast if they take `most` bytes or less. Else Misra-Gries proposes the frequent keys; their answers, at most 1 / support rows, are broadcast. The other keys have
     few rows each and are joined by an ordinary shuffle. `rows` should be slim and materialised; keys are not null.
     """
+    if answers.count() * WIDTH <= most:
+        return rows.join(F.broadcast(answers), key, "left")
     hot = cut(answers.join(F.broadcast(frequent(rows, key, support)), key, "left_semi"))
     near = rows.join(F.broadcast(hot), key)
     far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(answers, key, "left")

@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table, text_of
+from .common import hold, mapped, table, text_of
 
 #: Words of more bytes are read one at a time; texts are read so many bytes at a time, or one by one.
 LONG = 64
@@ -203,7 +203,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 first = stop
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(tokens), pa.array(unknown)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(rows, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")), rows, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

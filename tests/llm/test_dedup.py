@@ -40,8 +40,9 @@ def test_with_first_and_lookup_on_a_hot_key(spark, support):
     got = skew.with_first(rows, "key", "place", support).collect()
     assert len(got) == 3000 and all((r["first"], r["size"]) == (min(want[r["key"]]), len(want[r["key"]])) for r in got)
     answers = rows.groupBy("key").agg(F.max("place").alias("top")).filter("key <> 'k5'")
-    got = skew.lookup(rows, "key", answers, support).collect()
-    assert len(got) == 3000 and all(r["top"] == (None if r["key"] == "k5" else max(want[r["key"]])) for r in got)
+    for most in (0, 1 << 20):
+        got = skew.lookup(rows, "key", answers, support, most).collect()
+        assert len(got) == 3000 and all(r["top"] == (None if r["key"] == "k5" else max(want[r["key"]])) for r in got)
     assert "hot" in {r["key"] for r in skew.frequent(rows, "key", support).collect()}
 
 
@@ -236,7 +237,9 @@ def test_a_large_group_is_compared_part_by_part(spark, part):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and known.count() == len(rows)
 
 
-def test_components_of_a_hot_node(spark):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_components_of_a_hot_node(spark, monkeypatch, most):
+    monkeypatch.setattr(bagminhash, "lookup", lambda *a: skew.lookup(*a, most=most))
     edges = [(0, k) for k in range(1, 700)] + [(k, k + 1000) for k in range(1, 50)] + [(5000, 5001), (5001, 5002), (5002, 5003)]
     frame = spark.createDataFrame(edges, "a long, b long").repartition(6)
     got = {r["node"]: r["root"] for r in bagminhash.components(frame).collect()}
