@@ -117,7 +117,7 @@ def write_documents(docs: DataFrame, path: str, vocabulary: str, end: int = END,
     # rows of one doc_id, or of none, are spread by the hash
     order = ("doc_id", "turn", "text")
     sorted_ = whole.repartitionByRange("doc_id", "turn").sortWithinPartitions(*order)
-    mapped(sorted_.select("doc_id", "text"), shard, BLOCKS, 2 * BATCH_BYTES).write.option("compression", "none").parquet(f"{path}/blocks")
+    mapped(sorted_.select("doc_id", "text"), shard, BLOCKS, 3 * BATCH_BYTES // 2).write.option("compression", "none").parquet(f"{path}/blocks")
     blocks = docs.sparkSession.read.parquet(f"{path}/blocks")
     sizes = blocks.select("shard", "block", "n_ids", F.aggregate("planes", F.lit(0), lambda n, p: n + F.octet_length(p)).alias("n_bytes"), F.size("doc_ids").alias("n_docs"))
     # one row for each shard, of which there are as many as tasks
